@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import packing, token_codec
+from . import ngram_join, packing, token_codec
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,5 +25,9 @@ def op2_packing(spark, sf_dir):
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing)}
+def op6_ngram_jaccard(spark, sf_dir):
+    return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op6_ngram_jaccard)}
 ORACLE_SQL = {}
