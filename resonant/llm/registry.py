@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import ngram_join, packing, token_codec
+from . import ngram_join, packing, token_codec, vector_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -29,5 +29,9 @@ def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op6_ngram_jaccard)}
+def op9_vector_near_dups(spark, sf_dir):
+    return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op6_ngram_jaccard, op9_vector_near_dups)}
 ORACLE_SQL = {}
