@@ -78,9 +78,13 @@ def pieces(offsets: np.ndarray, size: int = PIECE):
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the n + 1 offsets of the texts among the words."""
-    word = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the n + 1 offsets of the texts among the words.
+
+    Words lie between ASCII white space, or are runs of the bytes for which
+    ``letters`` (256 booleans) is true.
+    """
+    word = ~_SPACE[data] if letters is None else letters[data]
     first = np.empty(len(data) + 1, bool)
     first[0] = False
     first[1:] = word
@@ -100,6 +104,21 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+#: ASCII letters and digits and all bytes beyond ASCII.
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[48:58] = ALPHANUMERIC[65:91] = ALPHANUMERIC[97:123] = ALPHANUMERIC[128:] = True
+
+
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """A-Z and the two-byte Latin-1 capitals in lower case."""
+    low = _LOWER[data]
+    high = np.flatnonzero(data >= 128)
+    if len(high):
+        b, before = data[high], data[np.maximum(high - 1, 0)]
+        low[high[(before == 0xC3) & (high > 0) & (b < 0x9F) & (b != 0x97)]] += 32
+    return low
+
+
 def sequence_hashes(words: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of k words, or of all words of a shorter text; and the texts' offsets among them."""
     counts = np.diff(bounds)

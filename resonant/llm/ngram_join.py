@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
+from .ids import only_needed
 from .scratch import materialise
 
 #: Lists of more sets than this give pairs only across components.
@@ -208,25 +209,6 @@ def _walk(entries: np.ndarray, percent: int):
 
 # -- 4: verification on whole sets
 
-_BITS = 26
-
-
-def only_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (doc_id).
-
-    Before the exact semi-join, a bitmap of 2**26 bits (8 MB at most, whatever
-    the input) removes most other rows, so that their texts are not shuffled.
-    """
-    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << _BITS))
-    bits = (ids.select(spot("doc_id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("part"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")))
-    bits = materialise(bits, "needed")
-    p = docs.withColumn("_p", spot("doc_id"))
-    hit = F.expr("shiftright(conv(hex(substring(bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10), cast(bitmap_bit_position(_p) % 8 as int)) & 1 = 1")
-    kept = p.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("part")).where(hit).select(*docs.columns)
-    return kept.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-
-
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
