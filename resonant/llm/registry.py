@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import language_id, ngram_join, packing, token_codec, vector_dedup
+from . import language_id, line_templates, ngram_join, packing, token_codec, vector_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,6 +25,11 @@ def op2_packing(spark, sf_dir):
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op4_line_templates(spark, sf_dir):
+    got = line_templates.drop_recurring_lines(_read(spark, sf_dir, "documents"), min_documents=5)
+    return got.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op5_language_id(spark, sf_dir):
     got = language_id.identify(_read(spark, sf_dir, "documents"), text="text", declared="lang", address="source")
     return got.withColumn("confidence", F.round("confidence", 6))
@@ -38,5 +43,5 @@ def op9_vector_near_dups(spark, sf_dir):
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op5_language_id, op6_ngram_jaccard, op9_vector_near_dups)}
-ORACLE_SQL = {}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op9_vector_near_dups)}
+ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE}
