@@ -8,13 +8,11 @@ word's bytes alone, so every task and executor gets the same.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
 #: Texts are scanned in pieces of about so many bytes, to bound memory.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -35,21 +33,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-@functools.lru_cache(maxsize=1)
+_held = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    up[0] = 1
-    down = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+    """The base's powers 0 to n - 1, and its inverse's; the longest so far are kept."""
+    if n > len(_held[0]):
+        n = -(-n // (1 << 18)) << 18
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            values = np.full(n, base, np.uint64)
+            values[0] = 1
+            _held[i] = np.multiply.accumulate(values)
+    return _held[0], _held[1]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of each span of the byte array."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    n = 1 << max(16, int(len(data) + 1).bit_length())
-    up, down = _powers(n)
+    up, down = _powers(len(data) + 1)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])

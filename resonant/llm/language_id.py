@@ -137,26 +137,26 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     evidence = F.array(*[F.element_at("text_ll", i + 1) + told("declared", trust_declared, c) + told("suffix", trust_suffix, c) for i, c in enumerate(classes)])
     scored = materialise(scored.select("doc_id", "host", "seen", evidence.alias("ll")), "language-evidence")
 
-    def posterior(log_terms):
-        top = [F.exp(t - F.greatest(*log_terms)) if len(log_terms) > 1 else F.lit(1.0) for t in log_terms]
-        total = sum(top[1:], top[0])
-        return [t / total for t in top]
+    def posterior(rows: DataFrame, terms) -> DataFrame:
+        """``rows`` with the column p, the normalised exponentials of an array of logs."""
+        rows = rows.withColumn("p", terms)
+        rows = rows.withColumn("p", F.transform("p", lambda x: F.exp(x - F.array_max("p"))))
+        return rows.withColumn("p", F.transform("p", lambda x: x / F.aggregate("p", F.lit(0.0), lambda t, y: t + y)))
 
     # hierarchical priors: all rows, domain (last two labels), host
-    base = posterior([F.element_at("ll", i + 1) for i in range(len(classes))])
-    per_host = scored.groupBy("host").agg(*[F.sum(p).alias(f"c{i}") for i, p in enumerate(base)], F.count("*").alias("n"))
+    size = len(classes)
+    per_host = posterior(scored, F.col("ll")).groupBy("host").agg(*[F.sum(F.element_at("p", i + 1)).alias(f"c{i}") for i in range(size)], F.count("*").alias("n"))
     per_host = per_host.withColumn("domain", F.regexp_extract("host", r"([^.]+\.[^.]+|[^.]+)$", 1))
-    per_domain = per_host.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(len(classes))], F.sum("n").alias("dn"))
-    overall = per_domain.agg(*[F.sum(f"d{i}").alias(f"a{i}") for i in range(len(classes))], F.sum("dn").alias("an"))
+    per_domain = per_host.groupBy("domain").agg(*[F.sum(f"c{i}").alias(f"d{i}") for i in range(size)], F.sum("n").alias("dn"))
+    overall = per_domain.agg(*[F.sum(f"d{i}").alias(f"a{i}") for i in range(size)], F.sum("dn").alias("an"))
     floor = [(1 - und_prior) / max(1, len(names))] * len(names) + [und_prior]
     top = [(F.col(f"a{i}") + alpha * f) / (F.col("an") + alpha) for i, f in enumerate(floor)]
     mid = [(F.col(f"d{i}") + alpha * t) / (F.col("dn") + alpha) for i, t in enumerate(top)]
     own = [(F.col(f"c{i}") + alpha * m) / (F.col("n") + alpha) for i, m in enumerate(mid)]
     priors = (per_host.join(per_domain, per_host.domain.eqNullSafe(per_domain.domain)).join(F.broadcast(overall))
               .select(F.col("host").alias("_host"), F.array(*[F.log(F.when(F.col("host").isNull(), t).otherwise(o)) for t, o in zip(top, own)]).alias("prior")))
-    fused = scored.join(priors, F.col("host").eqNullSafe(F.col("_host")))
-    final = posterior([F.element_at("ll", i + 1) + F.element_at("prior", i + 1) for i in range(len(classes))])
-    ranked = F.sort_array(F.array(*[F.struct((-p).alias("p"), F.lit(c).alias("c")) for p, c in zip(final, classes)]))
+    fused = posterior(scored.join(priors, F.col("host").eqNullSafe(F.col("_host"))), F.zip_with("ll", "prior", lambda x, y: x + y))
+    ranked = F.sort_array(F.transform("p", lambda x, i: F.struct((-x).alias("p"), F.element_at(F.array(*map(F.lit, classes)), i + 1).alias("c"))))
     out = fused.select("doc_id", "seen", ranked.alias("r"))
     best, second = F.element_at("r", 1), F.get("r", F.lit(1))
     none = F.col("seen") == 0

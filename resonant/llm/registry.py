@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import language_id, line_templates, ngram_join, packing, token_codec, vector_dedup
+from . import decontam, language_id, line_templates, ngram_join, packing, token_codec, vector_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -43,5 +43,9 @@ def op9_vector_near_dups(spark, sf_dir):
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op9_vector_near_dups)}
+def op10_benchmark_overlap(spark, sf_dir):
+    return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op9_vector_near_dups, op10_benchmark_overlap)}
 ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE}
