@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, language_id, line_templates, ngram_join, packing, token_codec, vector_dedup
+from . import decontam, language_id, line_templates, ngram_join, packing, token_codec, unit_dedup, vector_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -39,6 +39,12 @@ def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op7_unit_dedup(spark, sf_dir):
+    got = unit_dedup.drop_repeated_units(_read(spark, sf_dir, "documents"), unit="line", min_chars=20)
+    spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit(":"), s["first_doc"])), ",")
+    return got.withColumn("removed", spans)
+
+
 def op9_vector_near_dups(spark, sf_dir):
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -47,5 +53,5 @@ def op10_benchmark_overlap(spark, sf_dir):
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op9_vector_near_dups, op10_benchmark_overlap)}
-ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op7_unit_dedup, op9_vector_near_dups, op10_benchmark_overlap)}
+ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE, "op7_unit_dedup": unit_dedup.ORACLE}
