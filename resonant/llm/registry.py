@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontam, language_id, line_templates, ngram_join, packing, token_codec, unit_dedup, vector_dedup
+from . import decontam, language_id, license_scan, line_templates, ngram_join, packing, token_codec, unit_dedup, url_lists, vector_dedup
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -25,6 +25,12 @@ def op2_packing(spark, sf_dir):
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
+def op3_url_lists(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages")
+    got = url_lists.filter_urls(url_lists.captures_of(pages), url_lists.entries_of(pages))
+    return got.select("page_id", "url", "blocked", "matched_pattern", "matched_category", F.unix_timestamp("listed_since").alias("listed_since"))
+
+
 def op4_line_templates(spark, sf_dir):
     got = line_templates.drop_recurring_lines(_read(spark, sf_dir, "documents"), min_documents=5)
     return got.select("doc_id", "text", "n_lines", "n_dropped")
@@ -45,6 +51,10 @@ def op7_unit_dedup(spark, sf_dir):
     return got.withColumn("removed", spans)
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan.scan(_read(spark, sf_dir, "documents"), least=0.8).withColumn("dice", F.round("dice", 6))
+
+
 def op9_vector_near_dups(spark, sf_dir):
     return vector_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -53,5 +63,5 @@ def op10_benchmark_overlap(spark, sf_dir):
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op4_line_templates, op5_language_id, op6_ngram_jaccard, op7_unit_dedup, op9_vector_near_dups, op10_benchmark_overlap)}
-ORACLE_SQL = {"op4_line_templates": line_templates.ORACLE, "op7_unit_dedup": unit_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op3_url_lists, op4_line_templates, op5_language_id, op6_ngram_jaccard, op7_unit_dedup, op8_license_scan, op9_vector_near_dups, op10_benchmark_overlap)}
+ORACLE_SQL = {"op3_url_lists": url_lists.ORACLE, "op8_license_scan": license_scan.ORACLE, "op4_line_templates": line_templates.ORACLE, "op7_unit_dedup": unit_dedup.ORACLE}
