@@ -1,0 +1,13 @@
+"""Queries over the shared tables."""
+
+from __future__ import annotations
+
+from . import catalog, relational_queries  # noqa: F401
+
+
+def queries() -> dict:
+    return dict(catalog.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalog.ORACLE_SQL)

@@ -11,7 +11,12 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package where it is not installed and no ``--py-files`` is given."""
+    """Let Python workers find this package where it is not installed and no ``--py-files`` is given.
+
+    Arrow batches of whole texts are kept small, unless the session says otherwise.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
