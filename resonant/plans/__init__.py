@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog, relational_queries, signal_queries  # noqa: F401
+from . import catalog, relational_queries, signal_queries, stats_queries  # noqa: F401
 
 
 def queries() -> dict:
