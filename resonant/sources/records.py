@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 TRACK_KEY = ["model_id", "duration_s", "prompt_id", "set_idx", "track_idx"]
 
-MANIFEST = T.StructType.fromDDL(
+MANIFEST = (
     "status string, model_id string, duration_s double, prompt_id string, prompt_category string, loop_eval boolean, set_idx int, track_idx int, seed long, "
     "wav_path string, sr int, channels int, requested_duration_s double, actual_duration_s double, orig_peak double, orig_rms double, wall_time_s double, peak_vram_gb double, reason string")
 
@@ -21,19 +21,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = MANIFEST, strict: bool = False) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str = MANIFEST, strict: bool = False) -> DataFrame:
     """A JSONL log with seq, the order of its lines.
 
     A missing file is an empty log. Broken lines are skipped, or raise when
     ``strict``. seq grows with the line within a file's split and with the split.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not _exists(spark, path):
         return spark.createDataFrame([], schema.add("seq", T.LongType()) if "seq" not in schema.names else schema)
-    names = schema.names
+    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()).where("trim(value) <> ''")
+    if strict:
+        return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), "seq").select("r.*", "seq")
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(schema if strict else full).option("mode", "FAILFAST" if strict else "PERMISSIVE")
-    rows = (reader if strict else reader.option("columnNameOfCorruptRecord", "_corrupt")).json(path).withColumn("seq", F.monotonically_increasing_id())
-    return rows if strict else rows.where("_corrupt is null").select(*names, "seq")
+    rows = lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"), "seq")
+    return rows.where("r._corrupt is null").select(*[F.col("r")[n].alias(n) for n in schema.names], "seq")
 
 
 def done_records(manifest: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def dimension(spark: SparkSession, items: list[dict], schema: str) -> DataFrame:
 
 def list_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """path, size and time of the files below a folder with one of the suffixes, in any case; contents are not read."""
-    match = "|".join(s.lstrip(".") for s in suffixes)
+    match = "|".join(s.lstrip(".").lower() for s in suffixes)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return found.select("path", "length", "modificationTime").where(F.lower("path").rlike(rf"\.({match})$"))
 
