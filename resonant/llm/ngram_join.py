@@ -7,9 +7,11 @@ hashes. Documents link when 100 * |A & B| >= ``percent`` * |A | B|.
    and a few min-hashes per document. Equal sets have equal answers, so from
    here on one set stands for all its copies.
 2. ``index entries``: a second scan emits each set's prefix under one global
-   order (frequent shingles last), which any two linked sets must share. Which
-   shingles count as frequent only decides the order, never the result.
-   Entries travel as binary blocks, one for each task and range of hashes.
+   order (frequent shingles last), which any two linked sets must share. A
+   counting pass before it finds the shingles of more than ``SHORT`` documents; they
+   are kept as a bitmap of fixed size, whose false positives only change the order,
+   never the result. Counts and entries travel as binary blocks, one for each task
+   and range of hashes.
 3. Inverted lists are sorted by set size and walked by block; a block beyond the
    size bound, or without an indexable position, is skipped. A list of more than
    ``SHORT`` sets gives no pairs yet; it is set aside.
@@ -18,8 +20,8 @@ hashes. Documents link when 100 * |A & B| >= ``percent`` * |A | B|.
 5. Answer-level skipping: a set in a long list takes over its component's answers,
    so only sets of different components are still paired and verified there.
 
-Nothing of the size of the input is broadcast: the frequent shingles are at most
-``FREQUENT`` hashes, and the filter of needed documents is a bitmap of fixed size.
+Nothing of the size of the input is broadcast: the frequent shingles are a bitmap
+of 2**27 bits (16 MB), as is the filter of needed documents, of 2**26.
 
 Defined cases: null, empty or blank text has an empty set, which links with
 nothing; a text of fewer than k words has one shingle, the whole sequence; rows
@@ -41,12 +43,10 @@ from .scratch import materialise
 
 #: Lists of more sets than this give pairs only across components.
 SHORT = 24
-#: At most so many hashes are put last in the order (and broadcast: 8 bytes each).
-FREQUENT = 1 << 17
-#: A hash counts as frequent if so many sets of one scanned chunk hold it.
-LOCAL_COUNT = 4
-#: Shingles counted at a time; candidates verified against one set at a time.
-CHUNK, BLOCK = 1_000_000, 32
+#: Bits of the map of frequent shingles.
+MAP_BITS = 27
+#: Candidates verified against one set at a time.
+BLOCK = 32
 _MINHASHES = 4
 _MULTIPLIERS = [(0x9E3779B97F4A7C15 * (2 * j + 3)) & 0xFFFFFFFFFFFFFFFF | 1 for j in range(_MINHASHES)]
 
@@ -72,47 +72,102 @@ def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
     return n - -(-percent * n // 100) + 1, n - needed_overlap(2 * n, percent) + 1
 
 
-# -- 1: one scan for sizes, digests, min-hashes and frequent shingles
+# -- 1: one scan for sizes, digests and min-hashes
 
 
-_SETS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("mins", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64()), ("mins", pa.list_(pa.int64()))])
 
 
 def _scan(k: int):
     def run(batches):
-        held, count = [], 0
-
-        def frequent():
-            values, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times >= LOCAL_COUNT
-            n = int(often.sum())
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.ones(n, np.int8)), pa.nulls(n, pa.int64()), pa.array(times[often].astype(np.int64)),
-                pa.array(values[often].view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_SETS)
-
         for batch in batches:
             rows, mins = [], []
             for own in sets_of(batch.column("text"), k):
                 rows.append((len(own), int(np.bitwise_xor.reduce(bytescan.mix(own))) if len(own) else 0, int(own.sum(dtype=np.uint64)) if len(own) else 0))
                 mins.append([int((own * np.uint64(m)).min().view(np.int64)) for m in _MULTIPLIERS] if len(own) else [])
+            n, k0, k1 = (np.array([r[c] for r in rows], np.uint64).view(np.int64) for c in range(3))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(k0), pa.array(k1), pa.array(mins, pa.list_(pa.int64()))], schema=_SETS)
+
+    return run
+
+
+# -- frequent shingles
+
+_SALT = np.uint64(0xD1B54A32D192ED03)
+
+
+def _cut(rows: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The rows of each bucket as bytes."""
+    order = np.argsort(to, kind="stable")
+    rows, to = rows[order], to[order]
+    starts = np.flatnonzero(np.diff(to, prepend=-1))
+    ends = np.append(starts[1:], len(to))
+    return to[starts].astype(np.int32), [rows[a:b].tobytes() for a, b in zip(starts, ends)]
+
+
+def _tell(k: int, bits: int, flush_at: int = 1_000_000):
+    """Each set as 32-bit values by bucket, the leading ``bits`` of another hash."""
+
+    def run(batches):
+        held, count = [], 0
+
+        def blobs():
+            m = bytescan.mix(np.concatenate(held) ^ _SALT)
+            buckets, parts = _cut(((m >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (m >> np.uint64(64 - bits)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(parts, pa.binary())], schema=_BLOB)
+
+        for batch in batches:
+            for own in sets_of(batch.column("text"), k):
                 held.append(own)
-                count += len(own)
-                if count >= CHUNK:
-                    yield frequent()
+                count += len(held[-1])
+                if count >= flush_at:
+                    yield blobs()
                     held, count = [], 0
-            n, k0, k1 = (np.array([r[c] for r in rows], np.uint64).view(np.int64) for c in range(3))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.zeros(len(rows), np.int8)), batch.column("doc_id"), pa.array(n), pa.array(k0), pa.array(k1),
-                pa.array(mins, pa.list_(pa.int64()))], schema=_SETS)
-        if held:
-            yield frequent()
+        if count:
+            yield blobs()
 
     return run
 
 
+def _often(bits: int):
+    """Each bucket's part of the map: a bit for every value of more than SHORT documents."""
+
+    def run(batches):
+        gathered: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                gathered.setdefault(bucket, []).append(blob)
+        for bucket in list(gathered):
+            values = np.sort(np.frombuffer(b"".join(gathered.pop(bucket)), np.uint32))
+            often = values[SHORT:][values[SHORT:] == values[:-SHORT]] if len(values) > SHORT else values[:0]
+            part = np.zeros(1 << (MAP_BITS - bits), bool)
+            part[often >> np.uint32(32 - MAP_BITS + bits)] = True
+            if len(often):
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(part, bitorder="little").tobytes()], pa.binary())], schema=_BLOB)
+
+    return run
+
+
+def is_frequent(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = bytescan.mix(h ^ _SALT) >> np.uint64(64 - MAP_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def frequent_map(texts: DataFrame, k: int) -> np.ndarray:
+    """The packed map; its parts reach the driver, 16 MB together whatever the input."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(20, max(8, int(n - 1).bit_length() + 1))
+    blobs = texts.mapInArrow(_tell(k, bits), "bucket int, blob binary").repartition(n, "bucket").mapInArrow(_often(bits), "bucket int, blob binary")
+    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
+    size = 1 << (MAP_BITS - bits - 3)
+    for bucket, part in blobs.collect():
+        out[bucket * size : (bucket + 1) * size] = np.frombuffer(bytes(part), np.uint8)
+    return out
+
+
 # -- 2: prefix entries in binary blocks by range of hashes
 
-_ENTRY = np.dtype([("h", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("n", "<u4"), ("indexed", "u1")])
+_ENTRY = np.dtype([("h", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("n", "<u4"), ("rare", "<u4"), ("indexed", "u1")])
 _BLOB = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
@@ -123,12 +178,8 @@ def _emit(k: int, percent: int, buckets: int, last, flush_at: int = 600_000):
 
         def blobs():
             entries = np.concatenate(held)
-            to = ((entries["h"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            entries, to = entries[order], to[order]
-            cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            ends = np.append(cuts[1:], len(to))
-            return pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int32)), pa.array([entries[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], schema=_BLOB)
+            to, parts = _cut(entries, ((entries["h"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(to), pa.array(parts, pa.binary())], schema=_BLOB)
 
         for batch in batches:
             for own in sets_of(batch.column("text"), k):
@@ -136,16 +187,15 @@ def _emit(k: int, percent: int, buckets: int, last, flush_at: int = 600_000):
                 if not n:
                     continue
                 probe, index = prefix_lengths(n, percent)
-                if len(frequent):
-                    at = np.searchsorted(frequent, own)
-                    hot = frequent[np.minimum(at, len(frequent) - 1)] == own
-                    if hot.any():
-                        own = np.concatenate([own[~hot], own[hot]])
+                hot = is_frequent(frequent, own)
+                if hot.any():
+                    own = np.concatenate([own[~hot], own[hot]])
                 e = np.empty(probe, _ENTRY)
                 e["h"] = own[:probe]
                 e["k0"] = np.bitwise_xor.reduce(bytescan.mix(own))
                 e["k1"] = own.sum(dtype=np.uint64)
                 e["n"] = n
+                e["rare"] = n - int(hot.sum())
                 e["indexed"] = np.arange(probe) < index
                 held.append(e)
                 count += probe
@@ -160,7 +210,7 @@ def _emit(k: int, percent: int, buckets: int, last, flush_at: int = 600_000):
 
 # -- 3: inverted lists
 
-_LIST = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("a0", pa.int64()), ("a1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("n", pa.int64()), ("indexed", pa.bool_())])
+_LIST = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("a0", pa.int64()), ("a1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("indexed", pa.bool_())])
 
 
 def _lists(percent: int):
@@ -188,7 +238,7 @@ def _walk(entries: np.ndarray, percent: int):
     if len(long_):
         i = lambda name: pa.array(long_[name].astype(np.uint64).view(np.int64))
         z = pa.nulls(len(long_), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long_), np.int8)), i("h"), i("k0"), i("k1"), z, z, i("n"), pa.array(long_["indexed"] > 0)], schema=_LIST)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long_), np.int8)), i("h"), i("k0"), i("k1"), z, z, i("n"), i("rare"), pa.array(long_["indexed"] > 0)], schema=_LIST)
     keep = (own > 1) & (own <= SHORT)
     s = e[keep]
     list_id = np.repeat(np.arange(len(starts)), length)[keep]
@@ -204,7 +254,7 @@ def _walk(entries: np.ndarray, percent: int):
         a, b = s[np.concatenate(left)], s[np.concatenate(right)]
         pairs = np.unique(np.stack([a["k0"], a["k1"], b["k0"], b["k1"]], axis=1), axis=0).view(np.int64)
         n = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.nulls(n, pa.int64()), *[pa.array(pairs[:, c]) for c in range(4)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=_LIST)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), pa.nulls(n, pa.int64()), *[pa.array(pairs[:, c]) for c in range(4)], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], schema=_LIST)
 
 
 # -- 4: verification on whole sets
@@ -252,16 +302,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    scanned = materialise(texts.mapInArrow(_scan(k), "kind byte, doc_id long, n long, k0 long, k1 long, mins array<long>"), "sets")
-    sets = scanned.where("kind = 0").drop("kind")
-
-    often = scanned.where("kind = 1").groupBy("k0").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k0").limit(FREQUENT)
-    frequent = np.sort(np.array([r[0] for r in often.select("k0").toLocalIterator()], np.int64).view(np.uint64))
-    last = spark.sparkContext.broadcast(frequent)
+    sets = materialise(texts.mapInArrow(_scan(k), "doc_id long, n long, k0 long, k1 long, mins array<long>"), "sets")
+    last = spark.sparkContext.broadcast(frequent_map(texts, k))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = texts.mapInArrow(_emit(k, percent, 4 * n, last), "bucket int, blob binary")
-    lists = materialise(blobs.repartition(n, "bucket").mapInArrow(_lists(percent), "kind byte, h long, a0 long, a1 long, b0 long, b1 long, n long, indexed boolean"), "lists")
+    lists = materialise(blobs.repartition(n, "bucket").mapInArrow(_lists(percent), "kind byte, h long, a0 long, a1 long, b0 long, b1 long, n long, rare long, indexed boolean"), "lists")
 
     classes = materialise(sets.where("n > 0 and doc_id is not null").groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
     name = lambda side: classes.select(F.col("k0").alias(f"{side}0"), F.col("k1").alias(f"{side}1"), F.col("rep").alias(side))
@@ -274,18 +320,41 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     candidates = materialise(ordered(short.union(stars)), "candidates")
     edges = materialise(verified(texts, candidates, k, percent), "links")
 
-    part = components(edges).select(F.col("node").alias("rep"), F.col("component"))
-    waiting = lists.where("kind = 1").select("h", "a0", "a1", "n", "indexed").join(name("a"), ["a0", "a1"]).select("h", "n", "indexed", F.col("a").alias("rep"))
-    waiting = waiting.join(part, "rep", "left").select("h", "n", "indexed", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = waiting.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    waiting = materialise(waiting.join(mixed, "h", "left_semi"), "long-lists")
-    x, y = waiting.alias("x"), waiting.alias("y")
-    across = x.join(y, F.expr(f"x.h = y.h and x.c <> y.c and x.indexed and (x.n < y.n or (x.n = y.n and x.rep < y.rep)) and 100 * x.n >= {percent} * y.n"))
-    across = ordered(across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))).join(candidates, ["a", "b"], "left_anti")
-    across = materialise(across, "across")
-    if not across.isEmpty():
-        edges = edges.unionByName(verified(texts, across, k, percent))
-        part = components(edges).select(F.col("node").alias("rep"), F.col("component"))
+    label = lambda e: components(e).select(F.col("node").alias("rep"), F.col("component"))
+    part = label(edges)
+    entries = lists.where("kind = 1").select("h", "a0", "a1", "n", "rare", "indexed").join(name("a"), ["a0", "a1"]).select("h", "n", "rare", "indexed", F.col("a").alias("rep"))
+
+    def open_lists(rows: DataFrame) -> DataFrame:
+        """The entries of the lists that hold sets of more than one component."""
+        rows = rows.join(part, "rep", "left").select("h", "n", "rare", "indexed", "rep", F.coalesce("component", "rep").alias("c"))
+        mixed = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+        return materialise(rows.join(mixed, "h", "left_semi"), "long-lists")
+
+    # Sets of a long list hold all of their rare shingles in their prefixes, so two that share one have met in a
+    # short list. Any others share frequent shingles alone, which bounds their overlap.
+    fits = (f"100 * least({{x}}.n, {{y}}.n) >= {percent} * greatest({{x}}.n, {{y}}.n) and "
+            f"least({{x}}.n - {{x}}.rare, {{y}}.n - {{y}}.rare) >= ceil({percent} * ({{x}}.n + {{y}}.n) / {100 + percent})")
+    # first against the set of fewest rare shingles in each list's largest component, of which others may be edits; then all
+    waiting = open_lists(entries)
+    best = waiting.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("rare", "rep", "n", "c")).alias("best"))
+    hub = best.groupBy("h").agg(F.max_by("best", F.struct("m", "best")).alias("hub"))
+    to_hub = waiting.alias("x").join(hub, "h").where("x.c <> hub.c and " + fits.format(x="x", y="hub"))
+    tried = candidates
+    for kind in ("hub", "all"):
+        if kind == "hub":
+            new = ordered(to_hub.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")))
+        else:
+            x, y = waiting.alias("x"), waiting.alias("y")
+            new = x.join(y, F.expr("x.h = y.h and x.c <> y.c and x.indexed and (x.n < y.n or (x.n = y.n and x.rep < y.rep)) and " + fits.format(x="x", y="y")))
+            new = ordered(new.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")))
+        new = materialise(new.join(tried, ["a", "b"], "left_anti"), f"across-{kind}")
+        if new.isEmpty():
+            continue
+        found = materialise(verified(texts, new, k, percent), "links")
+        edges, tried = edges.unionByName(found), tried.unionByName(new)
+        part = label(edges)
+        if kind == "hub":
+            waiting = open_lists(waiting.drop("c"))
 
     labels = classes.join(part, "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("component"))
     out = sets.join(labels, ["k0", "k1"], "left")
