@@ -2,10 +2,11 @@
 
 Edges are first contracted inside each task (a spanning star for every set of
 nodes that the task's edges connect), then large-star and small-star steps run
-in turn until the edges no longer change (Kiveris et al., "Connected Components
-in MapReduce and Beyond"). Both steps are minima per node, so a node with very
-many edges is pre-aggregated before each shuffle. Every round is written to the
-shared folder; nothing is collected.
+in turn (Kiveris et al., "Connected Components in MapReduce and Beyond") until
+the edges no longer change, or are few enough, by count, for one task to contract
+them all. Both steps are minima per node, so a node with very many edges is
+pre-aggregated before each shuffle. Every round is written to the shared folder;
+nothing is collected.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .scratch import materialise
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-#: Edges contracted at a time.
+#: Edges contracted at a time (16 MB), and left for one task at most.
 _CHUNK = 1_000_000
 
 
@@ -64,13 +65,14 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, local: int = _CHUNK) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long; no nulls): its smallest connected node."""
-    now = materialise(contracted(edges.where("a <> b")).where("a <> b").distinct(), "edges")
+    now = materialise(contracted(edges.where("a <> b")).where("a <> b"), "edges")
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = digest(now)
     for _ in range(most_rounds):
-        if not seen[0]:
+        if seen[0] <= local:
+            now = materialise(contracted(now.coalesce(1)), "edges")
             break
         # a < b throughout: large star, then small star
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

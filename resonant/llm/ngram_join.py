@@ -129,8 +129,8 @@ def _tell(k: int, bits: int, flush_at: int = 1_000_000):
     return run
 
 
-def _often(bits: int):
-    """Each bucket's part of the map: a bit for every value of more than SHORT documents."""
+def _often(bits: int, short: int):
+    """Each bucket's part of the map: a bit for every value of more than ``short`` documents."""
 
     def run(batches):
         gathered: dict[int, list[bytes]] = {}
@@ -139,7 +139,7 @@ def _often(bits: int):
                 gathered.setdefault(bucket, []).append(blob)
         for bucket in list(gathered):
             values = np.sort(np.frombuffer(b"".join(gathered.pop(bucket)), np.uint32))
-            often = values[SHORT:][values[SHORT:] == values[:-SHORT]] if len(values) > SHORT else values[:0]
+            often = values[short:][values[short:] == values[:-short]] if len(values) > short else values[:0]
             part = np.zeros(1 << (MAP_BITS - bits), bool)
             part[often >> np.uint32(32 - MAP_BITS + bits)] = True
             if len(often):
@@ -153,11 +153,11 @@ def is_frequent(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def frequent_map(texts: DataFrame, k: int) -> np.ndarray:
+def frequent_map(texts: DataFrame, k: int, short: int) -> np.ndarray:
     """The packed map; its parts reach the driver, 16 MB together whatever the input."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(20, max(8, int(n - 1).bit_length() + 1))
-    blobs = texts.mapInArrow(_tell(k, bits), "bucket int, blob binary").repartition(n, "bucket").mapInArrow(_often(bits), "bucket int, blob binary")
+    blobs = texts.mapInArrow(_tell(k, bits), "bucket int, blob binary").repartition(n, "bucket").mapInArrow(_often(bits, short), "bucket int, blob binary")
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     size = 1 << (MAP_BITS - bits - 3)
     for bucket, part in blobs.collect():
@@ -213,19 +213,19 @@ def _emit(k: int, percent: int, buckets: int, last, flush_at: int = 600_000):
 _LIST = pa.schema([("kind", pa.int8()), ("h", pa.int64()), ("a0", pa.int64()), ("a1", pa.int64()), ("b0", pa.int64()), ("b1", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("indexed", pa.bool_())])
 
 
-def _lists(percent: int):
+def _lists(percent: int, short: int):
     def run(batches):
         gathered: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 gathered.setdefault(bucket, []).append(blob)
         for bucket in list(gathered):
-            yield from _walk(np.frombuffer(b"".join(gathered.pop(bucket)), _ENTRY), percent)
+            yield from _walk(np.frombuffer(b"".join(gathered.pop(bucket)), _ENTRY), percent, short)
 
     return run
 
 
-def _walk(entries: np.ndarray, percent: int):
+def _walk(entries: np.ndarray, percent: int, short: int):
     """Pairs of short lists, and the entries of long ones; a list is in ascending order of size."""
     e = entries[np.lexsort((entries["k1"], entries["k0"], entries["n"], entries["h"]))]
     same = np.zeros(len(e), bool)
@@ -234,16 +234,16 @@ def _walk(entries: np.ndarray, percent: int):
     starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))
     length = np.diff(np.append(starts, len(e)))
     own = np.repeat(length, length)
-    long_ = e[own > SHORT]
+    long_ = e[own > short]
     if len(long_):
         i = lambda name: pa.array(long_[name].astype(np.uint64).view(np.int64))
         z = pa.nulls(len(long_), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(long_), np.int8)), i("h"), i("k0"), i("k1"), z, z, i("n"), i("rare"), pa.array(long_["indexed"] > 0)], schema=_LIST)
-    keep = (own > 1) & (own <= SHORT)
+    keep = (own > 1) & (own <= short)
     s = e[keep]
     list_id = np.repeat(np.arange(len(starts)), length)[keep]
     left, right = [], []
-    for d in range(1, SHORT):
+    for d in range(1, short):
         if len(s) <= d:
             break
         # the block of entries d places on: of the same list, within the size bound, the smaller one indexed
@@ -298,16 +298,16 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, salt_rows:
 # -- the operator
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     sets = materialise(texts.mapInArrow(_scan(k), "doc_id long, n long, k0 long, k1 long, mins array<long>"), "sets")
-    last = spark.sparkContext.broadcast(frequent_map(texts, k))
+    last = spark.sparkContext.broadcast(frequent_map(texts, k, short))
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blobs = texts.mapInArrow(_emit(k, percent, 4 * n, last), "bucket int, blob binary")
-    lists = materialise(blobs.repartition(n, "bucket").mapInArrow(_lists(percent), "kind byte, h long, a0 long, a1 long, b0 long, b1 long, n long, rare long, indexed boolean"), "lists")
+    lists = materialise(blobs.repartition(n, "bucket").mapInArrow(_lists(percent, short), "kind byte, h long, a0 long, a1 long, b0 long, b1 long, n long, rare long, indexed boolean"), "lists")
 
     classes = materialise(sets.where("n > 0 and doc_id is not null").groupBy("k0", "k1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")), "classes")
     name = lambda side: classes.select(F.col("k0").alias(f"{side}0"), F.col("k1").alias(f"{side}1"), F.col("rep").alias(side))
