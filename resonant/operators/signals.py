@@ -248,12 +248,21 @@ def lag_profile(vectors: Column, lag: Column) -> Column:
     return mean(F.zip_with(F.slice(vectors, F.lit(1), n - lag), F.slice(vectors, lag + 1, n - lag), lambda a, b: dot(a, b)))
 
 
-def regularity(vectors: Column, least_lag: int) -> Column:
-    """struct(ratio, peak_lag, n_lags): the strongest lag of the self-similarity against the mean; NaN for short tracks."""
+def unit_vectors(vectors: Column) -> Column:
+    return F.transform(vectors, lambda v: F.transform(F.array(norm(v) + 1e-8), lambda n: F.transform(v, lambda x: x / n))[0])
+
+
+def regularity(rows: DataFrame, vectors: str, least_lag: int) -> DataFrame:
+    """Adds ratio, peak_lag and n_lags: the strongest lag of the self-similarity against the mean; NaN, -1 and 0 for short tracks.
+
+    Unit vectors and the profile are columns of their own, so neither is worked out again for each lag.
+    """
     most = F.floor(F.size(vectors) / 2).cast("int")
-    unit = F.transform(vectors, lambda v: F.transform(v, lambda x: x / (norm(v) + 1e-8)))
-    profile = F.transform(F.sequence(F.lit(least_lag), most - 1), lambda k: F.struct((-lag_profile(unit, k)).alias("s"), k.alias("k")))
-    level = mean(F.transform(profile, lambda p: -p["s"]))
-    peak = F.array_min(profile)
-    none = F.struct(F.lit(NAN).alias("ratio"), F.lit(-1).alias("peak_lag"), F.lit(0).alias("n_lags"))
-    return F.when(most <= least_lag + 2, none).otherwise(F.struct((-peak["s"] / (level + 1e-8)).alias("ratio"), peak["k"].alias("peak_lag"), F.size(profile).alias("n_lags")))
+    rows = rows.withColumn("_unit", unit_vectors(F.col(vectors))).withColumn("_most", most)
+    lags = F.when(F.col("_most") > least_lag + 2, F.sequence(F.lit(least_lag), F.col("_most") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_profile", F.transform(lags, lambda k: F.struct((-lag_profile(F.col("_unit"), k)).alias("s"), k.alias("k"))))
+    peak = F.array_min("_profile")
+    level = mean(F.transform("_profile", lambda p: -p["s"]))
+    some = F.size("_profile") > 0
+    return rows.select(*[c for c in rows.columns if c not in ("_unit", "_most", "_profile")], F.when(some, -peak["s"] / (level + 1e-8)).otherwise(F.lit(NAN)).alias("ratio"),
+                       F.when(some, peak["k"]).otherwise(-1).alias("peak_lag"), F.size("_profile").alias("n_lags"))

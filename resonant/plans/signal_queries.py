@@ -321,16 +321,15 @@ lags AS (SELECT id, n, k, list_avg([list_sum([us[i][j] * us[i + k][j] for j in r
 
 @query(f"WITH {_LAGS} SELECT id, k AS lag, round(p, 6) AS profile FROM lags")
 def lag_profile(t):
-    unit = F.transform("fs", lambda v: F.transform(v, lambda x: x / (S.norm(v) + 1e-8)))
-    rows = chroma_frames(t).where(F.floor(F.size("fs") / 2) > 4).select("id", unit.alias("us"))
+    rows = chroma_frames(t).where(F.floor(F.size("fs") / 2) > 4).select("id", S.unit_vectors(F.col("fs")).alias("us"))
     rows = rows.select("id", "us", F.explode(F.sequence(F.lit(2), F.floor(F.size("us") / 2).cast("int") - 1)).alias("k"))
     return rows.select("id", F.col("k").cast("long").alias("lag"), F.round(S.lag_profile(F.col("us"), F.col("k")), 6).alias("profile"))
 
 
 @query(f"WITH {_LAGS}, b AS (SELECT id, max(p) / (avg(p) + 1e-8) AS ratio, min(struct_pack(s := -p, k := k)) AS m, count(*) AS c FROM lags GROUP BY id) SELECT tr.id, round(coalesce(ratio, 'nan'::DOUBLE), 6) AS regularity_ratio, coalesce(CAST(m.k AS INTEGER), -1) AS peak_lag, coalesce(CAST(c AS INTEGER), 0) AS n_lags FROM tr LEFT JOIN b USING (id)")
 def structural_regularity(t):
-    r = chroma_frames(t).select("id", S.regularity(F.col("fs"), 2).alias("r"))
-    return r.select("id", F.round("r.ratio", 6).alias("regularity_ratio"), F.col("r.peak_lag").alias("peak_lag"), F.col("r.n_lags").alias("n_lags"))
+    r = S.regularity(chroma_frames(t), "fs", 2)
+    return r.select("id", F.round("ratio", 6).alias("regularity_ratio"), "peak_lag", "n_lags")
 
 
 _VM = "[list_avg([fs[i][j] for i in range({lo}, {hi})]) for j in range(1, 13)]"
@@ -342,10 +341,15 @@ vs AS (SELECT id, -1 AS s, {_VM.format(lo='1', hi='CAST(n + 1 AS BIGINT)')} AS c
 k AS (SELECT id, s, min(struct_pack(s := -round({corr_sql('c', 'p')}, 9), o := o, key := key, sig := sig)) AS b FROM vs, tp GROUP BY ALL)
 SELECT g.id, g.b.key AS global_key, count(*) AS n_windows, round(avg(CAST(w.b.sig <> g.b.sig AS DOUBLE)), 6) AS drift FROM k g JOIN k w ON g.id = w.id AND g.s = -1 AND w.s >= 0 GROUP BY ALL""")
 def key_drift(t):
-    avg = lambda a: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: S.mean(F.transform(a, lambda v: F.get(v, j))))
-    rows = chroma_frames(t).where(F.size("fs") >= 8).select("id", "fs", S.key_of(avg(F.col("fs"))).alias("g"))
-    rows = rows.select("id", "fs", "g", F.explode(F.sequence(F.lit(0), F.size("fs") - 5, F.lit(2))).alias("s"))
-    rows = rows.select("id", F.col("g.key").alias("global_key"), F.col("g.sig").alias("sig"), S.key_of(avg(F.slice("fs", F.col("s") + 1, F.lit(4)))).alias("w"))
+    # sums of the first f frames, so that a window's mean is a difference of two of them
+    add = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    zero = F.array(*[F.lit(0.0)] * 12)
+    rows = chroma_frames(t).where(F.size("fs") >= 8)
+    rows = rows.withColumn("n", F.size("fs")).withColumn("sums", F.aggregate("fs", F.array(zero), lambda acc, v: F.concat(acc, F.array(add(F.element_at(acc, -1), v)))))
+    between = lambda lo, hi: F.zip_with(F.get("sums", hi), F.get("sums", lo), lambda p, q: (p - q) / (hi - lo))
+    rows = rows.withColumn("whole", between(F.lit(0), F.col("n"))).withColumn("g", S.key_of(F.col("whole")))
+    rows = rows.select("id", "sums", "g", F.explode(F.sequence(F.lit(0), F.col("n") - 5, F.lit(2))).alias("s"))
+    rows = rows.withColumn("c", between(F.col("s"), F.col("s") + 4)).select("id", F.col("g.key").alias("global_key"), F.col("g.sig").alias("sig"), S.key_of(F.col("c")).alias("w"))
     return rows.groupBy("id", "global_key").agg(F.count("*").alias("n_windows"), F.round(F.avg((F.col("w.sig") != F.col("sig")).cast("double")), 6).alias("drift"))
 
 
