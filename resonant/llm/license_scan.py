@@ -55,9 +55,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     limits = {name: bounds(len(b), least) for name, b in sets.items()}
     fewest = min(lo for lo, _ in limits.values())
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    words = lines.withColumn("w", F.split(F.trim(F.regexp_replace(F.lower("content"), "[^a-z0-9]+", " ")), " ")).where(F.size("w") > fewest)
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    cut = words.select("doc_id", "line", "content", F.array_distinct(pairs).alias("g"))
+    words = F.split(F.trim(F.regexp_replace(F.lower("content"), "[^a-z0-9]+", " ")), " ")
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = F.transform(F.array(words), lambda w: F.when(F.size(w) > fewest, F.array_distinct(pairs(w))))
+    # exploded, so that the filters on its size do not work it out again
+    cut = lines.select("doc_id", "line", "content", F.explode(grams).alias("g"))
     fits = " or ".join(f"size(g) between {lo} and {hi}" for lo, hi in sorted(set(limits.values())))
     cut = cut.where(fits)
 

@@ -44,9 +44,8 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", F.col("e.category").alias("category"), "since", until.alias("until"), "e.active").where("active").drop("active")
 
 
-def patterns_of(url):
-    """All patterns that cover a URL."""
-    plain = _plain(url)
+def patterns_of(plain):
+    """All patterns that cover a normalised URL (a column, so that it is worked out once)."""
     host, path = F.split(plain, "/")[0], F.slice(F.split(plain, "/"), 2, 1 << 20)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1 << 20), "."))
@@ -64,7 +63,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     spot = F.pmod(F.xxhash64("pattern"), F.lit(1 << BITS))
     bits = materialise(listed.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")), "url-bits")
     asked = captures.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(fetched).alias("f")).where("u is not null and f is not null")
-    keys = asked.select("k", "u", "f", F.explode(patterns_of(F.col("u"))).alias("pattern")).withColumn("p", spot)
+    asked = asked.withColumn("plain", _plain(F.col("u")))
+    keys = asked.select("k", "u", "f", F.explode(patterns_of(F.col("plain"))).alias("pattern")).withColumn("p", spot)
     hit = F.expr("shiftright(conv(hex(substring(_bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10), cast(bitmap_bit_position(p) % 8 as int)) & 1 = 1")
     # 2**26 bits, 8 MB at most whatever the list
     keys = keys.join(F.broadcast(bits), F.bitmap_bucket_number("p") == F.col("_part")).where(hit).select("k", "u", "f", "pattern")
