@@ -1,11 +1,23 @@
 """Operator 8: licence scan by Dice coefficient over word bigrams. DataFrame functions only.
 
-Each line is normalised (lower case, anything but a-z and 0-9 as a space) and cut
-into its set of word bigrams; a template likewise. A line whose number of bigrams
-lies outside ``[t / (2 - t) * b, (2 - t) / t * b]`` for a template of b bigrams
-cannot reach the coefficient t, so that template is not computed for it. The rest
-is one pass over the lines: templates are constants in the plan (a fixed, short
-list, not a table), and nothing is shuffled.
+Each text is normalised (lower case, anything but a-z and 0-9 as a space) and cut
+into word bigrams; a template likewise, into its set. Two units are compared with
+every template:
+
+* each line on its own;
+* each passage of consecutive words, wherever it begins and ends: a notice wrapped
+  over several lines, commented, or with other text before or after it. A passage
+  begins and ends with a bigram of the template and is no longer than the template
+  could be at the coefficient. Of overlapping passages of one template the one of
+  greatest coefficient stays; of those of several templates, the one of most
+  bigrams in common. A passage within a line that fits on its own, or of a template
+  that one of its lines fits on its own, is not reported again.
+
+A set whose number of bigrams lies outside ``[t / (2 - t) * b, (2 - t) / t * b]`` for
+a template of b bigrams cannot reach the coefficient t, and what reaches it has
+``t / (2 - t) * b`` of them in common, so a text that lacks too many of the
+template's words is left after one pass over its words. Templates are constants in
+the plan (a fixed, short list, not a table), and nothing is shuffled.
 
 Defined cases: null and empty texts have no lines that match; lines of fewer than
 two words have no bigrams and match nothing; of equal coefficients the template of
@@ -48,30 +60,109 @@ def bounds(b: int, least: float) -> tuple[int, int]:
     return math.ceil(least / (2 - least) * b - 1e-9), math.floor((2 - least) / least * b + 1e-9)
 
 
+def words_needed(grams: list[str], lo: int) -> int:
+    """A text of at least ``lo`` of the bigrams has at least so many of their words."""
+    degree: dict[str, int] = {}
+    for g in grams:
+        for w in set(g.split()):
+            degree[w] = degree.get(w, 0) + 1
+    # a bigram has two words at most, so missing words of n bigrams in all lose n / 2 bigrams or more
+    missing, lost = 0, 0
+    for n in sorted(degree.values()):
+        lost += n
+        if lost > 2 * (len(grams) - lo):
+            break
+        missing += 1
+    return len(degree) - missing
+
+
+def _once(rows: DataFrame, name: str, value) -> DataFrame:
+    """``rows`` with a column that is exploded, so that what uses it does not work it out again."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _apart(found):
+    """Of an array of passages, the first of each that overlap."""
+    overlap = lambda a, x: (a["at"] <= x["upto"]) & (x["at"] <= a["upto"])
+    return F.aggregate(found, F.slice(found, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda a: overlap(a, x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """doc_id, line (from 0), license, dice and the line's text, for every line that fits a template."""
-    sets = {name: bigrams(text) for name, text in sorted((templates or TEMPLATES).items())}
+    """doc_id, line (from 0), license, dice and content of every line and passage that fits a template.
+
+    Of a passage, ``line`` is its first line and ``content`` all lines that it lies in.
+    """
+    texts = templates or TEMPLATES
+    sets = {name: bigrams(text) for name, text in sorted(texts.items())}
     sets = {name: b for name, b in sets.items() if b}
     limits = {name: bounds(len(b), least) for name, b in sets.items()}
-    fewest = min(lo for lo, _ in limits.values())
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("content"), "[^a-z0-9]+", " ")), " ")
-    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    grams = F.transform(F.array(words), lambda w: F.when(F.size(w) > fewest, F.array_distinct(pairs(w))))
-    # exploded, so that the filters on its size do not work it out again
-    cut = lines.select("doc_id", "line", "content", F.explode(grams).alias("g"))
-    fits = " or ".join(f"size(g) between {lo} and {hi}" for lo, hi in sorted(set(limits.values())))
-    cut = cut.where(fits)
-
-    def score(name: str):
+    strings = lambda x: F.array(*map(F.lit, x))
+    words = lambda c: F.split(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ")
+
+    # texts that have enough words of some template, and then enough bigrams
+    vocabulary = {n: sorted({w for g in b for w in g.split()}) for n, b in sets.items()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = _once(rows, "known", F.array_intersect(words("text"), strings(sorted(set().union(*vocabulary.values())))))
+    enough = [F.size(F.array_intersect("known", strings(vocabulary[n]))) >= words_needed(b, limits[n][0]) for n, b in sets.items()]
+    rows = rows.where(F.size("known") >= min(words_needed(b, limits[n][0]) for n, b in sets.items()))
+    rows = rows.where(F.exists(F.array(*enough), lambda x: x))
+
+    rows = _once(rows, "lines", F.split("text", "\n"))
+    rows = _once(rows, "line_words", F.transform("lines", lambda s: F.filter(words(s), lambda w: w != "")))
+    pairs = lambda w: F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.slice(w, 1, 0))
+    rows = _once(rows, "grams", pairs(F.flatten("line_words")))
+
+    def template(name: str):
+        lo, hi = limits[name]
+        raw = len(re.sub(r"[^a-z0-9]+", " ", texts[name].lower()).split()) - 1
+        known = F.array_intersect("grams", strings(sets[name]))
+        return F.when(F.size(known) >= lo, F.struct(F.lit(name).alias("license"), strings(sets[name]).alias("g"), F.lit(lo).alias("lo"), F.lit(hi + raw - len(sets[name])).alias("most")))
+
+    rows = _once(rows, "possible", F.filter(F.array(*[template(n) for n in sets]), lambda t: t.isNotNull())).where(F.size("possible") > 0)
+    rows = _once(rows, "word_line", F.flatten(F.transform("line_words", lambda w, i: F.transform(w, lambda _: i))))
+
+    def score(name: str, g):
         lo, hi = limits[name]
-        common = F.size(F.array_intersect("g", F.array(*[F.lit(x) for x in sets[name]])))
-        dice = F.when(F.size("g").between(lo, hi), 2.0 * common / (F.size("g") + F.lit(len(sets[name]))))
+        common = F.size(F.array_intersect(g, strings(sets[name])))
+        dice = F.when(F.size(g).between(lo, hi), 2.0 * common / (F.size(g) + F.lit(len(sets[name]))))
         return F.struct((-F.coalesce(dice, F.lit(0.0))).alias("d"), F.lit(name).alias("license"))
 
-    best = F.array_min(F.array(*[score(n) for n in sets]))
-    return cut.select("doc_id", "line", best.alias("b"), "content").where(-F.col("b.d") >= least).select(
-        "doc_id", "line", F.col("b.license").alias("license"), (-F.col("b.d")).alias("dice"), "content")
+    rows = _once(rows, "line_grams", F.transform("line_words", lambda w: F.array_distinct(pairs(w))))
+    rows = _once(rows, "fit", F.transform("line_grams", lambda g: F.array_min(F.array(*[score(n, g) for n in sets]))))
+    rows = rows.withColumn("fit", F.transform("fit", lambda b: F.when(-b["d"] >= least, b)))
+
+    def passages(t):
+        """The passages that fit a template, with the places of their first and last bigram."""
+        hits = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda p: F.array_contains(t["g"], F.element_at("grams", p)))
+        return F.flatten(F.transform(F.array(hits), lambda h: _of(t, h)))
+
+    def _of(t, h):
+        near = lambda k: F.element_at(h, k + t["lo"] - 1) - F.element_at(h, k) < t["most"]
+        starts = F.filter(F.sequence(F.lit(1), F.size(h)), lambda k: (k + t["lo"] - 1 <= F.size(h)) & F.when(k + t["lo"] - 1 <= F.size(h), near(k)).otherwise(False))
+        found = F.flatten(F.transform(starts, lambda k: _from(t, F.element_at(h, k), F.slice(h, k + t["lo"] - 1, t["most"]))))
+        return _apart(F.array_sort(F.filter(found, lambda x: -x["d"] >= least)))
+
+    def _from(t, at, ends):
+        fits = F.transform(F.filter(ends, lambda e: e - at < t["most"]), lambda e: _judged(t, at, e, F.slice("grams", at, e - at + 1)))
+        return F.array(F.array_min(fits))
+
+    def _judged(t, at, e, g):
+        common = F.size(F.array_intersect(g, t["g"]))
+        dice = 2.0 * common / (F.size(F.array_distinct(g)) + F.size(t["g"]))
+        return F.struct((-dice).alias("d"), (e - at).alias("length"), at.alias("at"), e.alias("upto"), (-common).alias("c"), t["license"].alias("license"))
+
+    rows = _once(rows, "found", F.flatten(F.transform("possible", passages)))
+    by_common = F.transform("found", lambda x: F.struct(x["c"].alias("c"), x["d"].alias("d"), x["at"].alias("at"), x["upto"].alias("upto"), x["license"].alias("license")))
+    rows = _once(rows, "apart", _apart(F.array_sort(by_common)))
+    # the last bigram's second word is one place further than the bigram
+    placed = F.transform("apart", lambda x: F.struct(F.element_at("word_line", x["at"]).alias("line"), F.element_at("word_line", x["upto"] + 1).alias("last"), x["license"].alias("license"), (-x["d"]).alias("dice")))
+    rows = _once(rows, "placed", placed)
+    within = lambda x: F.slice("fit", x["line"] + 1, x["last"] - x["line"] + 1)
+    told = lambda x: F.exists(within(x), lambda f: f.isNotNull() & ((x["line"] == x["last"]) | F.coalesce(f["license"] == x["license"], F.lit(False))))
+    alone = F.filter(F.transform("fit", lambda f, i: F.when(f.isNotNull(), F.struct(i.alias("line"), i.alias("last"), f["license"].alias("license"), (-f["d"]).alias("dice")))), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "lines", F.explode(F.concat(alone, F.filter("placed", lambda x: ~told(x)))).alias("x"))
+    content = F.array_join(F.slice("lines", F.col("x.line") + 1, F.col("x.last") - F.col("x.line") + 1), "\n")
+    return rows.select("doc_id", "x.line", "x.license", "x.dice", content.alias("content"))
 
 
 def _oracle() -> str:

@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import textwrap
 import zlib
 
 import numpy as np
@@ -209,6 +210,24 @@ def test_licenses(spark):
     assert got == [(1, 1, "Apache-2.0/notice"), (1, 2, "MIT/notice"), (5, 0, "MIT/grant")]
 
 
+def test_wrapped_and_commented_licenses(spark):
+    t = license_scan.TEMPLATES
+    grant = textwrap.wrap(t["MIT/grant"], 76)
+    header = [f" * {x}" for x in textwrap.wrap(t["Apache-2.0/header"], 60)]
+    own = "\n".join(["Copyright someone", "", *grant, "", "and so on"])
+    comment = "\n".join(["/*", *header, " */", "int main() {}"])
+    both = "\n".join(textwrap.wrap(t["GPL-3.0/terms"], 40) + ["", "words between them", ""] + textwrap.wrap(t["GPL-3.0/warranty"], 70))
+    rows = [(1, own), (2, comment), (3, both), (4, f"{prose(random.Random(1), 30)} {t['MIT/grant']} {prose(random.Random(2), 40)}"), (5, "These words are not Released under the MIT License. They say so on one line."), (6, "\n".join(grant[:2])), (7, f"{own}\n{own}")]
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "line").collect():
+        got.setdefault(r.doc_id, []).append((r.line, r.license, r.content))
+    assert got[1] == [(2, "MIT/grant", "\n".join(grant))] and 6 not in got
+    assert (1, "Apache-2.0/header", "\n".join(header)) in got[2]
+    assert [x[:2] for x in got[3]] == [(0, "GPL-3.0/terms"), (len(textwrap.wrap(t["GPL-3.0/terms"], 40)) + 3, "GPL-3.0/warranty")]
+    assert got[4] == [(0, "MIT/grant", rows[3][1])] and got[5] == [(0, "MIT/notice", rows[4][1])]
+    assert [x[:2] for x in got[7]] == [(2, "MIT/grant"), (2 + own.count("\n") + 1, "MIT/grant")]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 8))
