@@ -129,6 +129,18 @@ def test_line_templates(spark):
     assert four.where("n_dropped > 0").count() == 0
 
 
+def test_long_lines_recur_from_two_documents_on(spark):
+    rng = random.Random(6)
+    passage, short, numbers = prose(rng, 51), prose(rng, 10), " ".join(f"{i}.5" for i in range(60))
+    rows = [(i, f"{prose(rng, 9)}\n{passage} seen {i} times\n{short}\n{numbers}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df, 5, long_words=20).collect()}
+    assert got[0].text == rows[0][1]
+    for i in (1, 2):  # only the long line goes; a row of numbers has no words
+        assert got[i].text == rows[i][1].replace(f"{passage} seen {i} times\n", "") and got[i].n_dropped == 1
+    assert line_templates.drop_recurring_lines(df, 5).where("n_dropped > 0").count() == 0
+
+
 def test_language(spark):
     rng = random.Random(5)
     vocab = {"en": ["the", "shall", "which", "thing", "other", "would"], "de": ["und", "nicht", "schön", "über", "zwischen", "auch"], "fr": ["être", "quelle", "français", "après", "aussi", "leur"]}
