@@ -1,26 +1,30 @@
-"""Operator 10: benchmark decontamination by spaced-seed hashing.
+"""Operator 10: benchmark decontamination by hashed seeds and counted hits.
 
 Words are runs of letters and digits in lower case, so punctuation does not
-matter. Each mask takes some of ``SPAN`` consecutive words and ignores the others;
-the hash of the words taken is looked up among those of the benchmark, so a
-substituted word is tolerated wherever some mask ignores it. Around each hit the
-document is laid against the item without gaps, and the best stretch (one for an
-equal word, minus two for another) must hold ``least`` equal words (or
+matter. A document is laid against an item without gaps, and the best stretch (one
+for an equal word, minus two for another) must hold ``least`` equal words (or
 ``share`` of a shorter item's) with ``identity`` of its words equal.
 
+The hash of every ``RUN`` consecutive words is looked up among those of the
+benchmark. A stretch of n equal and e other words has at least n - (RUN - 1) * (e + 1)
+hits in one alignment, and what is accepted bounds n and e; so an alignment is
+verified when it has the least number of hits that any accepted stretch of its item
+can have (``hits_needed``), and none that verification accepts is left out.
+
 The benchmark is the query set: it is sent to the tasks in blocks of at most
 ``BLOCK_WORDS`` words, each of which is run against all documents, so its size
 is bounded whatever the benchmark's. Documents stream through once per block;
 nothing is shuffled.
 
-Defined cases: a null or empty text or item matches nothing; items of fewer words
-than ``SPAN`` match only as a whole, word by word, with ``SHORTEST`` words at
-least; equal items and repeated rows match each; an empty table gives no rows;
+Defined cases: a null or empty text or item matches nothing, nor does an item of
+fewer than ``SHORTEST`` words; equal items and repeated rows match each; an empty table gives no rows;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +32,14 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 
-SPAN, SHORTEST = 11, 6
+RUN, SHORTEST = 3, 6
+#: The longer masks of single substitutions; whatever they hit has the runs that are looked up now.
+SPAN = 11
 #: Places that each mask takes, of SPAN; every single place is ignored by one of them.
 MASKS = [(0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 5, 6, 8, 9), (1, 2, 4, 5, 7, 8, 10)]
 BLOCK_WORDS = 500_000
+#: Pairs of a place and a seed at a time, to bound memory.
+PAIRS = 1 << 21
 _FILTER_BITS = 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -44,15 +52,15 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return bytescan.span_hashes(low, starts, ends), bounds, starts, ends
 
 
-def _seed(words: np.ndarray, mask: tuple, salt: int) -> np.ndarray:
-    """The mask's hash at every place of the words where SPAN of them begin."""
-    n = len(words) - SPAN + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    h = np.full(n, np.uint64(salt + 1), np.uint64)
-    for place in mask:
-        h = h * _BASE + words[place : place + n]
-    return bytescan.mix(h)
+def hits_needed(words: int, least: int, share: float, identity: float) -> tuple[int, int]:
+    """The length of the runs to look up for an item of so many words, RUN at most, and the hits of an alignment that may be accepted."""
+    fewest = max(1, math.ceil(min(least, np.ceil(share * words))))
+    able = [(n, e) for n in range(fewest, words + 1) for e in range(words - n + 1) if n >= identity * (n + e)]
+    for run in range(RUN, 0, -1):
+        hits = min((n - (run - 1) * (e + 1) for n, e in able), default=0)
+        if hits > 0:
+            return run, hits
+    return 1, 1  # nothing of the item can be accepted
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
@@ -65,25 +73,25 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """The seeds of some benchmark items, sorted by hash."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, least: int = 12, share: float = 0.8, identity: float = 0.8):
         data, offsets = bytescan.text_buffer(pa.array(texts, pa.binary()))
         self.words, self.bounds, _, _ = _words(data, offsets)
         self.ids = ids
+        self.needed = np.ones(len(ids), np.int64)
+        plans: dict[int, tuple[int, int]] = {}
         hashes, items, places = [], [], []
-        self.short: set[int] = set()
         for i in range(len(ids)):
             own = self.words[self.bounds[i] : self.bounds[i + 1]]
-            if len(own) >= SPAN:
-                found = [_seed(own, m, s) for s, m in enumerate(MASKS)]
-            elif len(own) >= SHORTEST:
-                self.short.add(len(own))
-                found = [_runs(own, len(own))]
-            else:
+            if len(own) < SHORTEST:
                 continue
-            for h in found:
-                hashes.append(h)
-                items.append(np.full(len(h), i))
-                places.append(np.arange(len(h)))
+            if len(own) not in plans:
+                plans[len(own)] = hits_needed(len(own), least, share, identity)
+            run, self.needed[i] = plans[len(own)]
+            h = _runs(own, run)
+            hashes.append(h)
+            items.append(np.full(len(h), i))
+            places.append(np.arange(len(h)))
+        self.runs = sorted({run for run, _ in plans.values()})
         none = np.empty(0, np.int64)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -93,12 +101,27 @@ class Index:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``h`` and the seeds they meet, all pairs."""
+    def hits(self, h: np.ndarray):
+        """Places in ``h`` and the seeds they meet, all pairs, about PAIRS at a time."""
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = hi - lo
-        return np.repeat(at, n), np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        for block in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1) if len(at) else ():
+            m = n[block]
+            yield np.repeat(at[block], m), np.repeat(lo[block] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(int(m.sum()))
+
+    def alignments(self, words: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """Document, item and the place where the item's first word lies, wherever the hits suffice."""
+        width, docs = len(words) + len(self.words) + 1, len(bounds)
+        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for run in self.runs:
+            for at, seed in self.hits(_runs(words, run)):
+                doc = np.searchsorted(bounds, at, "right") - 1
+                key, n = np.unique((self.items[seed] * docs + doc) * width + at - self.places[seed] + len(self.words), return_counts=True)
+                keys, inverse = np.unique(np.concatenate([keys, key]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, n])).astype(np.int64)
+        keys = keys[counts >= self.needed[keys // (width * docs)]]
+        return list(zip((keys // width % docs).tolist(), (keys // (width * docs)).tolist(), (keys % width - len(self.words)).tolist()))
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -118,14 +141,8 @@ def _search(sent, least: int, share: float, identity: float):
             rows = []
             for i, j in bytescan.pieces(offsets):
                 words, bounds, starts, ends = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                met = [index.hits(_seed(words, m, s)) for s, m in enumerate(MASKS)] + [index.hits(_runs(words, n)) for n in sorted(index.short)]
-                at, seed = np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met])
-                if not len(at):
-                    continue
-                doc = np.searchsorted(bounds, at, "right") - 1
-                lines = np.unique(np.stack([doc, index.items[seed], at - index.places[seed]], axis=1), axis=0)
                 best: dict[tuple, tuple] = {}
-                for d, item, begin in lines.tolist():  # the item's first word lies at `begin`
+                for d, item, begin in index.alignments(words, bounds):  # the item's first word lies at `begin`
                     own = index.words[index.bounds[item] : index.bounds[item + 1]]
                     lo, hi = max(begin, bounds[d]), min(begin + len(own), bounds[d + 1])
                     equal = words[lo:hi] == own[lo - begin : hi - begin]
@@ -150,7 +167,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: floa
     schema = "doc_id long, item_id long, start_byte long, end_byte long, item_start int, n_words int, n_equal int"
 
     def searched():
-        sent = spark.sparkContext.broadcast(Index(ids, texts))
+        sent = spark.sparkContext.broadcast(Index(ids, texts, least, share, identity))
         return rows.mapInArrow(_search(sent, least, share, identity), schema)
 
     for row in items.orderBy("item_id").toLocalIterator():  # one block of the query set at a time

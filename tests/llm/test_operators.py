@@ -279,3 +279,36 @@ def test_decontamination(spark):
 
 def test_every_single_place_is_ignored_by_a_mask():
     assert all(any(p not in m for m in decontam.MASKS) for p in range(decontam.SPAN))
+
+
+def accepted_by_force(words, own, least=12, share=0.8, identity=0.8):
+    """Whether verification accepts any alignment of the item with the document's words."""
+    for begin in range(1 - len(own), len(words)):
+        lo, hi = max(begin, 0), min(begin + len(own), len(words))
+        equal = np.array(words[lo:hi]) == np.array(own[lo - begin : hi - begin])
+        a, b = decontam.best_stretch(equal)
+        n = int(equal[a:b].sum())
+        if b > a and n >= min(least, np.ceil(share * len(own))) and n >= identity * (b - a):
+            return True
+    return False
+
+
+def test_every_alignment_that_verification_accepts_is_found():
+    """Items of 6 to 45 words with up to a fifth and more of their words substituted, and every fifth word substituted."""
+    rng = random.Random(11)
+    n_accepted = 0
+    for length in (6, 7, 10, 11, 12, 15, 20, 33, 45):
+        items = [prose(rng, length) for _ in range(25)]
+        texts = []
+        for k, item in enumerate(items):
+            w = item.split()
+            for p in range(4, length, 5) if k % 5 == 0 else rng.sample(range(length), rng.randint(0, length // 4 + 1)):
+                w[p] = "other"
+            texts.append(f"{prose(rng, 5)} {' '.join(w)} {prose(rng, 5)}")
+        sent = type("Sent", (), {"value": decontam.Index(list(range(25)), [x.encode() for x in items])})
+        batch = pa.RecordBatch.from_arrays([pa.array(range(25), pa.int64()), pa.array([x.encode() for x in texts], pa.binary())], names=["doc_id", "text"])
+        got = {(r["doc_id"], r["item_id"]) for b in decontam._search(sent, 12, 0.8, 0.8)([batch]) for r in b.to_pylist()}
+        want = {(d, i) for d in range(25) for i in range(25) if accepted_by_force(texts[d].split(), items[i].split())}
+        assert got == want
+        n_accepted += len(want)
+    assert n_accepted > 100
