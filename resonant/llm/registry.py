@@ -46,7 +46,7 @@ def op6_ngram_jaccard(spark, sf_dir):
 
 
 def op7_unit_dedup(spark, sf_dir):
-    got = unit_dedup.drop_repeated_units(_read(spark, sf_dir, "documents"), unit="line", min_chars=20)
+    got = unit_dedup.drop_repeated_units(_read(spark, sf_dir, "documents"), unit="line", min_words=30)
     spans = F.array_join(F.transform("removed", lambda s: F.concat(s["start"], F.lit("-"), s["end"], F.lit(":"), s["first_doc"])), ",")
     return got.withColumn("removed", spans)
 

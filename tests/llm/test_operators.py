@@ -206,16 +206,72 @@ def test_units(spark, unit):
     passage = "This passage of some length is found in more than one text."
     end = "\n\n" if unit == "paragraph" else "\n"
     rows = [(2, f"own two{end}{passage}{end}rest"), (1, f"{passage}{end}own one, which is long enough{end}"), (3, f"THIS passage, of some length is found in more than one text!{end}own three"), (4, None), (5, ""), (None, passage)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, removed int")
-    got = {r.doc_id: r for r in unit_dedup.drop_repeated_units(df, unit).collect()}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, `removed.x` int")
+    got = {r.doc_id: r for r in unit_dedup.drop_repeated_units(df, unit, min_words=12).collect()}
     assert got[1].text == rows[1][1] and got[2].text == f"own two{end}rest" and got[3].text == "own three" and got[None].text == passage
     for i in (2, 3):
         s = got[i].removed[0]
         original = dict(rows)[i]
-        assert original[: s.start] + original[s.end :] == got[i].text and s.first_doc == 1
+        assert original[: s.start] + original[s.end :] == got[i].text and s.first_doc == 1 and got[i].n_removed == got[i].n_repeated == 1
+    assert got[1].n_removed == 0 and got[1].n_repeated == 1
     assert got[4].text is None and got[5].text == "" and unit_dedup.drop_repeated_units(df.limit(0), unit).count() == 0
 
 
+def repeats_by_force(rows, least):
+    """Per document, the places of words in runs of ``least`` words that an earlier document holds."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        words = re.findall(r"[^\W_]+", t.lower())
+        runs = [tuple(words[k : k + least]) for k in range(len(words) - least + 1)]
+        out[i] = {p for k, r in enumerate(runs) if seen.get(r, i) < i for p in range(k, k + least)}
+        for r in runs:
+            seen.setdefault(r, i)
+    return out
+
+
+def test_units_catch_passages_and_leave_lone_sentences(spark):
+    """Passages of 50 words in lines, across lines and within lines go; a short sentence that many documents hold stays."""
+    rng = random.Random(5)
+    sentence = lambda n: (prose(rng, n) + ".").capitalize()
+    common = [sentence(9) for _ in range(4)]
+    passages = [[sentence(rng.randrange(7, 14)) for _ in range(6)] for _ in range(8)]
+    rows, planted = [], set()
+    for i in range(160):
+        lines = [" ".join(sentence(rng.randrange(5, 15)) for _ in range(3)) for _ in range(4)]
+        lines.insert(2, rng.choice(common))
+        if i % 3 == 0:
+            p, kind = rng.choice(passages), i % 4
+            planted.add(i)
+            text = (" ", "\n", " ", "\r\n")[kind].join(p)
+            at = rng.randrange(len(lines))
+            lines[at] = f"{lines[at]} {text} {sentence(6)}" if kind == 2 else text if kind else f"{text}\n{lines[at]}"
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in unit_dedup.drop_repeated_units(df).collect()}
+    force = repeats_by_force(rows, 50)
+    later = {i for i, places in force.items() if places}
+    assert later <= planted and len(later) > 30
+    assert sum(got[i].n_removed > 0 for i in later) >= 0.9 * len(later)
+    assert all(got[i].n_removed == 0 and got[i].text == t for i, t in rows if i not in planted)
+    left = repeats_by_force([(i, r.text) for i, r in got.items()], 50)
+    assert sum(map(len, left.values())) <= 0.1 * sum(map(len, force.values()))
+    for i, t in rows:
+        at, kept = 0, ""
+        for s in got[i].removed:
+            kept, at = kept + t[at : s.start], s.end
+        assert kept + t[at:] == got[i].text
+
+
+def test_units_at_hot_passages_overlaps_and_sizes(spark):
+    """A passage of most documents, a text that repeats itself, a megabyte on one line, and repeated rows."""
+    hot = " ".join(WORDS[:40]) + "."
+    rows = [(i, f"{hot} {WORDS[i]} own") for i in range(300)] + [(900, "a b c d e f.\n" * 20), (901, "x. " * 200_000 + "." * 400_000)]
+    df = spark.createDataFrame(rows + [rows[0]], "doc_id long, text string")
+    got = unit_dedup.drop_repeated_units(df).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got[:301]] == [0, 0] + [1] * 299
+    assert got[301].text == "a b c d e f.\n" and got[302].text.startswith("x. .")
+
+
 def test_licenses(spark):
     rows = [(1, "x\nlicensed under the Apache License, version 2.0\nReleased under the MIT License."), (2, None), (3, ""), (4, "word"), (5, license_scan.TEMPLATES["MIT/grant"].upper()), (5, "Licensed work under some other licence")]
     got = sorted((r.doc_id, r.line, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
