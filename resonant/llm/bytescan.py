@@ -1,9 +1,10 @@
 """Words and 64-bit hashes of whole texts, vectorised over the bytes of many texts at once.
 
 Texts lie one after another in one UTF-8 buffer, as Arrow holds them; a word
-never crosses the end of its text. Hashes are sums of random 64-bit values per
-byte times powers of an odd base, modulo 2**64, then mixed; they depend on the
-word's bytes alone, so every task and executor gets the same.
+never crosses the end of its text. Every eight
+bytes of a span are mixed with their place, the results summed and mixed again, so
+no algebraic relation between texts survives as in a polynomial; the hash depends
+on the span's bytes alone, so every task and executor gets the same.
 """
 
 from __future__ import annotations
@@ -30,32 +31,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+def padded(data: np.ndarray) -> np.ndarray:
+    """The bytes with eight zeros after them, as ``eights`` needs them."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
-_held = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+def eights(buffer: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The up to eight bytes from each place to its end, as little-endian integers; ``buffer`` is padded."""
+    every = np.ndarray(len(buffer) - 7, "<u8", buffer, strides=(1,))
+    got, left = every[at].astype(np.uint64), ends - at
+    short = np.flatnonzero(left < 8)
+    got[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+    return got
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The base's powers 0 to n - 1, and its inverse's; the longest so far are kept."""
-    if n > len(_held[0]):
-        n = -(-n // (1 << 18)) << 18
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            values = np.full(n, base, np.uint64)
-            values[0] = 1
-            _held[i] = np.multiply.accumulate(values)
-    return _held[0], _held[1]
+def rest(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of more than eight bytes and, for every further eight of theirs: where each span's begin, the offset, the span."""
+    long_ = np.flatnonzero(ends - starts > 8)
+    many = (ends[long_] - starts[long_] - 1) >> 3
+    first = np.concatenate([[0], np.cumsum(many)[:-1]]).astype(np.int64) if len(long_) else np.empty(0, np.int64)
+    span = np.repeat(np.arange(len(long_)), many)
+    return long_, first, (np.arange(len(span)) - first[span] + 1) * 8, long_[span]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each span of the byte array."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each span of the byte array; ``head`` holds the ``eights`` of the spans where they are known."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    buffer = padded(data)
+    total = mix((eights(buffer, starts, ends) if head is None else head) ^ np.uint64(_BASE))
+    long_, first, offset, span = rest(starts, ends)
+    if len(long_):
+        more = eights(buffer, starts[span] + offset, ends[span])
+        total[long_] += np.add.reduceat(mix(more ^ mix(offset.astype(np.uint64))), first)
+    return mix(total + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

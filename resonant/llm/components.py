@@ -3,8 +3,8 @@
 Edges are first contracted inside each task (a spanning star for every set of
 nodes that the task's edges connect), then large-star and small-star steps run
 in turn (Kiveris et al., "Connected Components in MapReduce and Beyond") until
-the edges no longer change, or are few enough, by count, for one task to contract
-them all. Both steps are minima per node, so a node with very many edges is
+the edges no longer change, or are at most ``local`` (16 MB), which one task contracts
+as well; the result is the same. Both steps are minima per node, so a node with very many edges is
 pre-aggregated before each shuffle. Every round is written to the shared folder;
 nothing is collected.
 """
@@ -65,12 +65,12 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_contract, "a long, b long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60, local: int = _CHUNK) -> DataFrame:
+def components(edges: DataFrame, local: int = _CHUNK) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long; no nulls): its smallest connected node."""
     now = materialise(contracted(edges.where("a <> b")).where("a <> b"), "edges")
     digest = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = digest(now)
-    for _ in range(most_rounds):
+    while True:  # each round lowers some node's neighbour until none can be lowered
         if seen[0] <= local:
             now = materialise(contracted(now.coalesce(1)), "edges")
             break
@@ -84,7 +84,5 @@ def components(edges: DataFrame, most_rounds: int = 60, local: int = _CHUNK) ->
         last, seen = seen, digest(now)
         if seen == last:
             break
-    else:
-        raise RuntimeError("components did not settle")
     child = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return child.union(now.select("a").distinct().select(F.col("a").alias("node"), F.col("a").alias("component")))

@@ -104,7 +104,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = _once(rows, "known", F.array_intersect(words("text"), strings(sorted(set().union(*vocabulary.values())))))
     enough = [F.size(F.array_intersect("known", strings(vocabulary[n]))) >= words_needed(b, limits[n][0]) for n, b in sets.items()]
-    rows = rows.where(F.size("known") >= min(words_needed(b, limits[n][0]) for n, b in sets.items()))
+    rows = rows.where(F.size("known") >= min((words_needed(b, limits[n][0]) for n, b in sets.items()), default=0))
     rows = rows.where(F.exists(F.array(*enough), lambda x: x))
 
     rows = _once(rows, "lines", F.split("text", "\n"))

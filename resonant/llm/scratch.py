@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's shared folder; one is set only where none is, as in tests."""
+    """The session's shared folder. One is set only where none is and all tasks run in this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="resonant-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

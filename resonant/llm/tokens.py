@@ -7,7 +7,7 @@ Latin letters and ASCII marks is cut into runs of either, as the vocabulary's
 pattern cuts it, and each run goes to the library's merge model; any other chunk
 goes through the whole tokenizer. Each different run or chunk is encoded once
 and remembered in a table of fixed size, looked up for many words at a time by
-64-bit hash and length. A text with the opening of a special token, and every
+64-bit hash and then compared byte by byte. A text with the opening of a special token, and every
 text for a vocabulary of another build, goes through the whole tokenizer.
 """
 
@@ -24,6 +24,8 @@ from . import bytescan
 _SLOTS = 1 << 21
 #: Ids held for remembered runs; then the table starts anew.
 _MOST_IDS = 6_000_000
+#: Bytes held of remembered runs, likewise.
+_MOST_BYTES = 1 << 25
 
 _SPACE, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
 
@@ -68,17 +70,41 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(_SLOTS, np.uint64)
+        self.head = np.zeros(_SLOTS, np.uint64)
         self.at = np.zeros(_SLOTS, np.uint32)
         self.many = np.zeros(_SLOTS, np.uint32)
         self.bytes_long = np.zeros(_SLOTS, np.uint32)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
+        self.raw_at = np.zeros(_SLOTS, np.int64)
+        self.raw = np.zeros(1 << 16, np.uint8)
+        self.raw_used = 0
 
     def _room(self, n: int) -> None:
         if self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
 
+    def _hold(self, low: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the bytes of the runs are held."""
+        n = int(sizes.sum())
+        if self.raw_used + n + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(n + 8, len(self.raw)), np.uint8)])
+        before = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        self.raw[self.raw_used : self.raw_used + n] = low[np.repeat(starts - before, sizes) + np.arange(n)]
+        at = self.raw_used + before
+        self.raw_used += n
+        return at
+
+    def _same(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the bytes held from ``at`` on are the runs' bytes, from the ninth on."""
+        same = np.ones(len(starts), bool)
+        long_, first, offset, span = bytescan.rest(starts, ends)
+        if len(long_):
+            a, b = starts[span] + offset, at[span] + offset
+            equal = bytescan.eights(buffer, a, ends[span]) == bytescan.eights(self.raw, b, b + (ends[span] - a))
+            same[long_] = np.logical_and.reduceat(equal, first)
+        return same
+
     def _whole(self, raw: bytes) -> list[int]:
         return self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
 
@@ -135,22 +161,32 @@ class Encoder:
         stop[starts] = True
         limits = np.flatnonzero(stop)
         ends = limits[np.searchsorted(limits, starts, "right")]
-        keys = bytescan.span_hashes(low, starts, ends)
+        buffer = bytescan.padded(low)
+        head = bytescan.eights(buffer, starts, ends)
+        keys = bytescan.span_hashes(low, starts, ends, head)
         sizes = (ends - starts).astype(np.uint32)
         slots = (keys >> np.uint64(43)).astype(np.int64)
-        missing = np.flatnonzero((self.keys[slots] != keys) | (self.bytes_long[slots] != sizes))
+        # the first eight bytes are held as a number, all of them for the runs beyond
+        known = np.flatnonzero((self.head[slots] == head) & (self.bytes_long[slots] == sizes))
+        known = known[self._same(buffer, starts[known], ends[known], self.raw_at[slots[known]])]
         row_at, row_many = self.at[slots].astype(np.int64), self.many[slots].astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[known] = False
+        missing = np.flatnonzero(new)
         if len(missing):
-            _, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            new = missing[first]
-            at, many = self._learn(low.tobytes(), starts[new].tolist(), ends[new].tolist(), odd[new].tolist())
+            raw, seen, back = low.tobytes(), {}, np.empty(len(missing), np.int64)
+            for k, (a, b) in enumerate(zip(starts[missing].tolist(), ends[missing].tolist())):
+                back[k] = seen.setdefault(raw[a:b], len(seen))
+            first = np.empty(len(seen), np.int64)
+            first[back[::-1]] = missing[::-1]
+            at, many = self._learn(raw, starts[first].tolist(), ends[first].tolist(), odd[first].tolist())
             row_at[missing], row_many[missing] = at[back], many[back]
-            s = slots[new]
-            self.keys[s], self.at[s], self.many[s], self.bytes_long[s] = keys[new], at, many, sizes[new]
+            s, held = slots[first], self._hold(low, starts[first], (ends - starts)[first])
+            self.head[s], self.at[s], self.many[s], self.bytes_long[s], self.raw_at[s] = head[first], at, many, sizes[first], held
         so_far = np.concatenate([[0], np.cumsum(row_many)])
         ids = self.ids[np.repeat(row_at - so_far[:-1], row_many) + np.arange(so_far[-1])]
         n = np.diff(so_far[np.searchsorted(starts, offsets)])
-        if self.used > _MOST_IDS:
+        if self.used > _MOST_IDS or self.raw_used > _MOST_BYTES:
             self._reset()
         return ids, n
 

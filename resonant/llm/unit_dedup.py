@@ -16,9 +16,9 @@ the original text, so the original can be rebuilt. Where occurrences overlap in
 one text, its first period stays.
 
 Digests are pre-aggregated before the shuffle (least and greatest rank, a count).
-A digest that holds more than one in ``HEAVY`` of all passages is matched by
-broadcast (fewer than ``HEAVY`` of them exist, whatever the input); the others
-meet their first occurrence in an equality join, where none can fill a task.
+A digest that holds a large share of all passages is matched by broadcast (few
+of them can exist, whatever the input); the others meet their first occurrence in
+an equality join, where none can fill a task (see ``skew``).
 Texts are moved once, to be joined to their spans.
 
 All scans of a text are linear in its length.
@@ -41,14 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
+from .skew import join_per_key
 
 _END = {
     "line": re.compile(r"\n|(?<=[.!?])[ \t\r]+\n?|(?<=[\u3002\uff01\uff1f])"),
     "paragraph": re.compile(r"\n(?:[ \t\r]*\n)+"),
 }
 _WORD = re.compile(r"[^\W_]+")
-#: A digest of more than one in so many passages is heavy.
-HEAVY = 500
 
 
 def units_of(text: str, unit: str):
@@ -171,13 +170,9 @@ def drop_repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 30
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
     passages = materialise(rows.where("doc_id is not null and text is not null").mapInArrow(_scan(unit, min_words), _ROWS_SQL), "passages")
     rank = F.struct(F.col("doc_id").alias("d"), F.col("t").alias("t"), F.col("i").alias("i"))
-    first = passages.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).where("first <> last").select("digest", "first", "n")
-    first = materialise(first, "first-places")
-    total = passages.count()
-    # fewer than HEAVY rows: each stands for more than one in HEAVY of the passages
-    heavy = F.broadcast(first.where(F.col("n") * HEAVY > total).select("digest", "first"))
-    rest = first.where(F.col("n") * HEAVY <= total).select("digest", "first")
-    met = passages.join(heavy, "digest").unionByName(passages.join(heavy.select("digest"), "digest", "left_anti").join(rest, "digest"))
+    first = passages.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("n")).where("first <> last")
+    first = materialise(first.select("digest", "first", "n"), "first-places")
+    met = join_per_key(passages, first, ["digest"], passages.count(), "n")
     found = met.select("doc_id", "t", F.struct("i", "j", "start", "end", F.col("first.d").alias("first_doc"), (rank == F.col("first")).alias("stays")).alias("p"))
     found = found.groupBy("doc_id", "t").agg(F.collect_set("p").alias("found"))
     joined = rows.join(found, ["doc_id", "t"], "left").select("doc_id", "text", "found")

@@ -6,8 +6,8 @@ entry of the same pattern ending the one before. Every capture is then joined
 as of its fetch time to the intervals of the patterns that cover its URL: its
 host, each parent domain, and its host with each leading part of the path.
 
-Patterns that are in no list are dropped from the captures' side by a bitmap of
-fixed size before anything is shuffled, so hosts that no entry names, however
+Patterns that are in no list are dropped from the captures' side by a bitmap (sized
+by the patterns, 32 MB at most) before anything is shuffled, so hosts that no entry names, however
 many captures they hold, do not move; what is left is an equality join, which
 adaptive execution splits where a pattern is hot.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ids import BITS
+from .ids import bitmap, bits_for, hits
 from .scratch import materialise
 
 ADDED = ("blocked", "matched_pattern", "matched_category", "listed_since")
@@ -44,13 +44,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.select("pattern", F.col("e.category").alias("category"), "since", until.alias("until"), "e.active").where("active").drop("active")
 
 
-def patterns_of(plain):
-    """All patterns that cover a normalised URL (a column, so that it is worked out once)."""
-    host, path = F.split(plain, "/")[0], F.slice(F.split(plain, "/"), 2, 1 << 20)
+def patterns_of(plain, labels_most: int, path_most: int):
+    """The patterns that cover a normalised URL (a column, so that it is worked out once), of at most so many host labels and path parts."""
+    none = F.array().cast("array<string>")
+    host, path = F.split(plain, "/")[0], F.slice(F.split(plain, "/"), 2, max(1, path_most))
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, 1 << 20), "."))
+    domains = F.transform(F.sequence(F.greatest(F.lit(1), F.size(labels) - (labels_most - 1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat_ws("/", host, F.array_join(F.slice(path, F.lit(1), i), "/")))
-    return F.array_distinct(F.when(plain == "", F.array().cast("array<string>")).otherwise(F.concat(domains, F.when(F.size(path) > 0, prefixes).otherwise(F.array().cast("array<string>")))))
+    return F.array_distinct(F.when(plain == "", none).otherwise(F.concat(domains, F.when((F.size(path) > 0) & F.lit(path_most > 0), prefixes).otherwise(none))))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at", key: str = "page_id") -> DataFrame:
@@ -60,19 +61,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     """
     listed = materialise(intervals(entries), "url-intervals")
     own = [c for c in captures.columns if c not in ADDED]
-    spot = F.pmod(F.xxhash64("pattern"), F.lit(1 << BITS))
-    bits = materialise(listed.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")), "url-bits")
-    asked = captures.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(fetched).alias("f")).where("u is not null and f is not null")
-    asked = asked.withColumn("plain", _plain(F.col("u")))
-    keys = asked.select("k", "u", "f", F.explode(patterns_of(F.col("plain"))).alias("pattern")).withColumn("p", spot)
-    hit = F.expr("shiftright(conv(hex(substring(_bits, cast(bitmap_bit_position(p) div 8 as int) + 1, 1)), 16, 10), cast(bitmap_bit_position(p) % 8 as int)) & 1 = 1")
-    # 2**26 bits, 8 MB at most whatever the list
-    keys = keys.join(F.broadcast(bits), F.bitmap_bucket_number("p") == F.col("_part")).where(hit).select("k", "u", "f", "pattern")
+    # the captures' columns travel in one struct, so none of their names can clash
+    row = F.struct(*[captures[f"`{c}`"] for c in own]).alias("row")
+    rows = captures.select(row, captures[f"`{key}`"].alias("k"), captures[f"`{url}`"].cast("string").alias("u"), captures[f"`{fetched}`"].alias("f"))
+    patterns = listed.select("pattern").distinct()
+    # what is longer than every listed pattern cannot be one; so a very long URL makes no more candidates than that
+    labels_most, path_most = patterns.agg(F.coalesce(F.max(F.size(F.split(F.split("pattern", "/")[0], r"\."))), F.lit(1)), F.coalesce(F.max(F.size(F.split("pattern", "/"))) - 1, F.lit(0))).first()
+    asked = rows.select("k", "u", "f").where("u is not null and f is not null").withColumn("plain", _plain(F.col("u")))
+    keys = asked.select("k", "u", "f", F.explode(patterns_of(F.col("plain"), labels_most, path_most)).alias("pattern"))
+    bits = bits_for(patterns.count())
+    if bits is not None:
+        keys = hits(keys, "pattern", bitmap(patterns, "pattern", bits), bits).where("hit").drop("hit")
     met = keys.join(listed, "pattern").where("since <= f and (until is null or f < until)")
     best = met.groupBy("k", "u", "f").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "category", "since")).alias("m"))
-    c = captures.select(*[captures[f"`{x}`"] for x in own])
-    out = c.join(best, c[f"`{key}`"].eqNullSafe(best.k) & (c[f"`{url}`"] == best.u) & (c[f"`{fetched}`"] == best.f), "left")
-    return out.select(*[c[f"`{x}`"] for x in own], F.col("m").isNotNull().alias("blocked"), F.col("m.pattern").alias("matched_pattern"), F.col("m.category").alias("matched_category"), F.col("m.since").alias("listed_since"))
+    best = best.select(F.col("k").alias("k2"), F.col("u").alias("u2"), F.col("f").alias("f2"), "m")
+    out = rows.join(best, F.col("k").eqNullSafe(F.col("k2")) & (F.col("u") == F.col("u2")) & (F.col("f") == F.col("f2")), "left")
+    return out.select("row.*", F.col("m").isNotNull().alias("blocked"), F.col("m.pattern").alias("matched_pattern"), F.col("m.category").alias("matched_category"), F.col("m.since").alias("listed_since"))
 
 
 # -- over the table `pages`: fetch times and a list by rule, since it has neither

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from resonant.llm import bytescan, decontam, language_id, license_scan, line_templates, ngram_join, packing, token_codec, tokens, unit_dedup, url_lists, vector_dedup
+from resonant.llm import bytescan, decontam, ids, language_id, license_scan, line_templates, ngram_join, packing, token_codec, tokens, unit_dedup, url_lists, vector_dedup
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(300)]
@@ -194,7 +194,51 @@ def test_jaccard(spark, short):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), low[r.doc_id])
 
 
+@pytest.mark.parametrize("short", [24, 1])
+def test_jaccard_of_templates(spark, short):
+    """Sets of frequent shingles in several components, near the threshold: bounds from the hub, cells of several parts."""
+    rng = random.Random(3)
+    blocks = [prose(rng, 14) for _ in range(9)]
+    rows = []
+    for i in range(140):
+        chosen = [b for b in blocks if rng.random() < 0.75]
+        rows.append((i, " ".join(chosen) + (f" {WORDS[i]}" if rng.random() < 0.3 else "")))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    low = components_by_force({i: shingles(t) for i, t in rows})
+    assert len(set(low.values())) > 3
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, short=short).collect()} == low
+
+
+def thue_morse(n):
+    """Two texts of n letters, alike for every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_alike_for_polynomial_hashes(spark):
+    one, other = thue_morse(2048)
+    assert len(np.unique(bytescan.span_hashes(*[np.frombuffer((one + other).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096])]))) == 2
+    e = tokens.encoder(PATH)
+    ids, bounds = e.encode(*bytescan.text_buffer(pa.array([one, other, one])))
+    for i, t in enumerate((one, other, one)):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert sorted(r.component_id for r in ngram_join.jaccard_components(df).collect()) == [1, 2]
+    vectors = [(i, [float(c == "a") for c in t[:64]] + [1.0]) for i, t in ((1, one), (2, other))]
+    assert not any(r.n_links for r in vector_dedup.near_duplicates(spark.createDataFrame(vectors, "vec_id long, embedding array<float>")).collect())
+    item = " ".join([other, *WORDS[:9]])
+    found = decontam.overlaps(spark.createDataFrame([(1, " ".join([one] * 10))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join([other] * 10)), (2, item)], "item_id long, text string"))
+    assert found.count() == 0
+
+
 def test_jaccard_edges(spark):
+    """Equal ids with different texts are rows of their own, as are equal rows; a long text of one word."""
+    df = spark.createDataFrame([(7, "a b c d e f"), (7, "q r s t u v"), (9, "q r s t u v"), (8, "x" * 3_000_000), (8, "x" * 3_000_000)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(df).collect())
+    assert got == [(7, 2, 7), (7, 2, 7), (8, 1, 8), (8, 1, 8), (9, 2, 7)]
+    rows = [(1, "a b c d e f"), (None, "a b c d e f")]
+    many = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit(1).alias("row"), F.lit(2).alias("hit"), F.lit(3).alias("k.0"))
+    assert ngram_join.jaccard_components(many).count() == 2
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(df).collect()), key=repr)
     assert got == sorted([(1, 1), (1, 1), (None, None), (3, 3)], key=repr)
@@ -296,6 +340,22 @@ def test_wrapped_and_commented_licenses(spark):
     assert [x[:2] for x in got[7]] == [(2, "MIT/grant"), (2 + own.count("\n") + 1, "MIT/grant")]
 
 
+def test_vectors_of_equal_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.05])]
+    for kind in ("float", "double"):
+        got = sorted(tuple(r) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")).collect())
+        assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_keeping_and_dropping_ids_with_any_column_names(spark):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), *[F.lit(n).alias(n) for n in ("_p", "_hit", "_part", "_bits", "p", "hit", "bits", "row", "k", "i", "a.b")])
+    gone = spark.createDataFrame([(3,), (3,), (4,), (None,), (99,)], "doc_id long")
+    for f, n in ((ids.without, 48), (ids.only_needed, 2)):
+        out = f(df, gone)
+        assert out.columns == df.columns and out.count() == n and all(tuple(r)[1:] == tuple(df.columns[1:]) for r in out.collect())
+    assert ids.without(df, gone.limit(0)).count() == 50 and ids.without(df.limit(0), gone).count() == 0
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 8))
