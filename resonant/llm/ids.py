@@ -57,6 +57,12 @@ def only_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.where("hit").join(wanted, F.col("k") == F.col("i"), "left_semi").select("row.*")
 
 
+def maybe_needed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``ids``: all that are, and a few more, before an exact join."""
+    rows, _ = _parted(docs, ids)
+    return rows.where("hit").select("row.*")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not in ``ids`` (doc_id); a null doc_id stays."""
     rows, wanted = _parted(docs, ids)

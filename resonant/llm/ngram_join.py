@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .components import components
-from .ids import only_needed
+from .ids import maybe_needed
 from .scratch import materialise
 from .skew import HEAVY, join_per_key
 
@@ -396,15 +396,17 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
         "a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / salt_rows))).alias("block"))
     rows = materialise(dealt.select("block", F.col("a").alias("cid"), F.lit(True).alias("hub")).distinct()
                        .unionByName(dealt.select("block", F.col("b").alias("cid"), F.lit(False).alias("hub"))), "verify")
-    # a set of many uses is dealt under as many salts as keep each below one in HEAVY of all rows
     total = rows.count()
-    uses = rows.groupBy("cid").agg(F.count("*").alias("size")).withColumn("salts", F.least("size", F.ceil(F.col("size") * HEAVY / F.lit(max(1, total)))))
-    uses = materialise(uses, "uses")
-    named = uses.join(classes.select("cid", F.col("rep").alias("doc_id"), "t"), "cid")
-    texts = only_needed(docs, named.select("doc_id")).join(named, ["doc_id", "t"])
-    texts = texts.select("cid", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    rows = join_per_key(rows, uses, ["cid"], total).withColumn("salt", F.pmod(F.xxhash64("block"), "salts"))
-    placed = rows.join(texts, ["cid", "salt"]).select("block", "cid", "hub", "text")
+    uses = rows.groupBy("cid").agg(F.count("*").alias("size")).join(classes.select("cid", F.col("rep").alias("doc_id"), "t"), "cid")
+    uses = materialise(uses.withColumn("heavy", F.col("size") * HEAVY > total).withColumn("salts", F.ceil(F.col("size") * HEAVY / F.lit(max(1, total)))), "uses")
+    rows = join_per_key(rows, uses, ["cid"], total)
+    texts = maybe_needed(docs, uses.select("doc_id"))
+    light = rows.where("not heavy").join(texts, ["doc_id", "t"]).select("block", "cid", "hub", "text")
+    # the few sets of very many uses are dealt under as many salts as keep each below one in HEAVY of all rows
+    few = uses.where("heavy").select("doc_id", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    few = maybe_needed(docs, uses.where("heavy").select("doc_id")).join(few, ["doc_id", "t"])
+    salted = rows.where("heavy").withColumn("salt", F.pmod(F.xxhash64("block"), "salts"))
+    placed = light.unionByName(salted.join(few, ["doc_id", "t", "salt"]).select("block", "cid", "hub", "text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartition(n, "block").sortWithinPartitions("block", F.desc("hub"), "cid")
     return ordered.mapInArrow(_verify(k, percent), "a long, b long, overlap long, linked boolean")
