@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from ..functions import nan, stats
-from ..functions.hashing import hash_index, md5_mod
+from ..functions.hashing import md5_mod
+from ..operators import bootstrap as B
 from ..operators import distances as D
 from .catalog import query
 from .relational_queries import _mod
@@ -49,25 +48,12 @@ RESAMPLES = 200
 
 
 def bootstrap_rows(values, group, resamples, seed=0):
-    """(group, b, mean): resampled means by hashed index.
-
-    A resample's draws are joined to values by (group, place). Places come from a
-    window over each group, so groups are cells of a report, not of raw data.
-    """
-    from pyspark.sql import Window
-
-    placed = values.withColumn("i", (F.row_number().over(Window.partitionBy(group).orderBy("v_order")) - 1).cast("long"))
-    sizes = placed.groupBy(group).agg(F.count("*").alias("n"))
-    draws = sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select(group, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
-    draws = draws.select(group, "b", hash_index(seed, F.col("n"), F.col(group), F.col("b"), F.col("j")).alias("i"))
-    return draws.join(placed.select(group, "i", "v"), [group, "i"]).groupBy(group, "b").agg(F.avg("v").alias("m"))
+    """(group, b, m): the means of resamples of (group, v_order, v)."""
+    return B.resampled(values, [group], ["v_order"], {"m": B.weighted_mean(F.col("v"), F.col("w"))}, resamples, seed)
 
 
 def boot_sql(values, group, resamples=RESAMPLES, seed=0, name="boot"):
-    return f"""{name}_p AS (SELECT {group}, v, row_number() OVER (PARTITION BY {group} ORDER BY v_order) - 1 AS i FROM ({values})),
-{name}_n AS (SELECT {group}, count(*) AS n FROM {name}_p GROUP BY 1),
-{name}_d AS (SELECT {group}, b, ('0x' || md5('{seed}|' || {group} || '|' || b || '|' || j)[1:8])::BIGINT % n AS i FROM {name}_n, range({resamples}) r(b), LATERAL (SELECT unnest(range(n)) AS j)),
-{name} AS (SELECT d.{group}, b, avg(v) AS m FROM {name}_d d JOIN {name}_p p ON d.{group} = p.{group} AND d.i = p.i GROUP BY ALL)"""
+    return f"""{name} AS (SELECT {group}, b, sum(v * w) / sum(w) AS m FROM ({B.weights_sql(values, group, 'v_order', resamples, seed)}) GROUP BY ALL)"""
 
 
 _VALUES = "SELECT event_type, user_id AS v_order, avg(value) AS v FROM events GROUP BY event_type, user_id"
@@ -121,10 +107,6 @@ def vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 16).alias("file"), F.col("label"), F.col("embedding").cast("array<double>").alias("x"))
 
 
-def _blocks(rows):
-    return max(1, math.ceil(rows.count() / D.BLOCK))
-
-
 V = "v AS (SELECT vec_id AS id, vec_id % 16 AS file, label, embedding::DOUBLE[] AS x FROM embeddings)"
 D2 = "greatest(0, list_sum([pow(a.x[j] - b.x[j], 2) for j in range(1, 65)]))"
 
@@ -141,13 +123,13 @@ def cosine_similarity(t):
 @query(f"WITH {V} SELECT a.id AS a, b.id AS b, round({D2}, 6) AS d2 FROM v a, v b WHERE a.id < b.id")
 def pairwise_sq_dist(t):
     rows = vectors(t)
-    return D.squared_distances(rows, _blocks(rows)).select("a", "b", F.round("d2", 6).alias("d2"))
+    return D.squared_distances(rows).select("a", "b", F.round("d2", 6).alias("d2"))
 
 
 @query(f"WITH {V}, r AS (SELECT * FROM v WHERE label < 5) SELECT round(sqrt(median({D2})), 6) AS bandwidth FROM r a, r b WHERE a.id < b.id")
 def median_bandwidth(t):
     rows = vectors(t).where("label < 5")
-    return D.median_bandwidth(rows, _blocks(rows)).select(F.round("bandwidth", 6).alias("bandwidth"))
+    return D.median_bandwidth(rows).select(F.round("bandwidth", 6).alias("bandwidth"))
 
 
 BW = 1.4
@@ -157,7 +139,7 @@ K = f"exp(-{D2} / (2 * {BW} * {BW}))"
 @query(f"WITH {V} SELECT CAST(label AS INTEGER) AS label, round(avg(k), 6) AS k FROM (SELECT a.label, {K} AS k FROM v a, v b WHERE a.label = b.label AND a.id <> b.id) GROUP BY 1")
 def kernel_mean(t):
     rows = vectors(t).withColumn("file", F.col("label").cast("long"))
-    sums = D.kernel_sums(rows, rows, BW, _blocks(rows)).where("fa = fb")
+    sums = D.kernel_sums(rows, None, BW, by=["label"]).where("fa = fb")
     n = rows.groupBy("file").agg(F.count("*").alias("n"))
     return sums.join(n, F.col("fa") == F.col("file")).select(F.col("fa").cast("int").alias("label"), F.round((F.col("s") - F.col("trace")) / (F.col("n") * (F.col("n") - 1)), 6).alias("k"))
 
@@ -166,15 +148,16 @@ def kernel_mean(t):
 def kernel_cross_mean(t):
     rows = vectors(t)
     r, e = rows.where("label < 5"), rows.where("label >= 5")
-    sums = D.kernel_sums(r, e, BW, _blocks(rows))
+    sums = D.kernel_sums(r, e, BW)
     nr, ne = (x.groupBy(F.col("file").alias(k)).agg(F.count("*").alias(f"n_{k}")) for x, k in ((r, "fa"), (e, "fb")))
     return sums.join(nr, "fa").join(ne, "fb").select("fa", "fb", F.round(F.col("s") / (F.col("n_fa") * F.col("n_fb")), 6).alias("k"))
 
 
-def kad_rows(rows_r, rows_e, blocks):
+def kad_rows(rows_r, rows_e):
     """One row: s_rr, t_rr, n_r, s_ee, t_ee, n_e, s_re of two sets."""
-    one = lambda a, b, names: D.kernel_sums(a, b, BW, blocks).agg(F.sum("s").alias(names[0]), F.sum("trace").alias(names[1]))
-    parts = [one(rows_r, rows_r, ("s_rr", "t_rr")), one(rows_e, rows_e, ("s_ee", "t_ee")), one(rows_r, rows_e, ("s_re", "t_re")),
+    rows_r, rows_e = (x.withColumn("file", F.lit(0)) for x in (rows_r, rows_e))
+    one = lambda a, b, names: D.kernel_sums(a, b, BW).agg(F.sum("s").alias(names[0]), F.sum("trace").alias(names[1]))
+    parts = [one(rows_r, None, ("s_rr", "t_rr")), one(rows_e, None, ("s_ee", "t_ee")), one(rows_r, rows_e, ("s_re", "t_re")),
              rows_r.agg(F.count("*").alias("n_r")), rows_e.agg(F.count("*").alias("n_e"))]
     out = parts[0]
     for p in parts[1:]:  # one row each
@@ -194,7 +177,7 @@ SELECT round(k_rr.k + k_ee.k - 2 * k_re.k, 6) AS kad FROM k_rr, k_ee, k_re"""
 @query(f"WITH {V}, {kad_sql('SELECT * FROM v WHERE label < 5', 'SELECT * FROM v WHERE label >= 5')}")
 def kad_mmd(t):
     rows = vectors(t)
-    return kad_rows(rows.where("label < 5"), rows.where("label >= 5"), _blocks(rows)).select(F.round(kad_value(), 6).alias("kad"))
+    return kad_rows(rows.where("label < 5"), rows.where("label >= 5")).select(F.round(kad_value(), 6).alias("kad"))
 
 
 _HALF = _mod("CAST(file AS VARCHAR)", 2)
@@ -203,7 +186,7 @@ _HALF = _mod("CAST(file AS VARCHAR)", 2)
 @query(f"WITH {V}, {kad_sql(f'SELECT * FROM v WHERE {_HALF} = 0', f'SELECT * FROM v WHERE {_HALF} = 1')}")
 def split_half_floor(t):
     rows = vectors(t).withColumn("half", md5_mod(F.col("file").cast("string"), 2))
-    return kad_rows(rows.where("half = 0"), rows.where("half = 1"), _blocks(rows)).select(F.round(kad_value(), 6).alias("kad"))
+    return kad_rows(rows.where("half = 0"), rows.where("half = 1")).select(F.round(kad_value(), 6).alias("kad"))
 
 
 @query(f"WITH {V}, q AS (SELECT id + 1000000 AS id, file, label, [round(z * 8, 0) / 8 for z in x] AS x FROM v), {kad_sql('SELECT * FROM v', 'SELECT * FROM q')}")
@@ -211,44 +194,70 @@ def roundtrip_floor(t):
     """The distance that a lossy transform alone brings about: vectors against their quantised selves."""
     rows = vectors(t)
     coarse = rows.withColumn("id", F.col("id") + 1000000).withColumn("x", F.transform("x", lambda z: F.round(z * 8, 0) / 8))
-    return kad_rows(rows, coarse, _blocks(rows)).select(F.round(kad_value(), 6).alias("kad"))
+    return kad_rows(rows, coarse).select(F.round(kad_value(), 6).alias("kad"))
 
 
-B = 100
+RESAMPLED_FILES = 100
+_LABELS = "CASE WHEN label < 5 THEN 'r' ELSE 'e' END"
 
 
-@query(f"""WITH {V}, e AS (SELECT * FROM v WHERE label >= 5), r AS (SELECT * FROM v WHERE label < 5),
-see AS (SELECT a.file AS fa, b.file AS fb, sum({K}) AS s, sum(CASE WHEN a.id = b.id THEN 1.0::DOUBLE ELSE 0 END) AS tr FROM e a, e b GROUP BY ALL),
-sre AS (SELECT b.file AS f, sum({K}) AS s FROM r a, e b GROUP BY ALL),
-rr AS (SELECT avg({K}) AS k FROM r a, r b WHERE a.id <> b.id), nr AS (SELECT count(*)::DOUBLE AS n FROM r),
-f AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS i, count(*) AS n FROM e GROUP BY file),
-m AS (SELECT count(*) AS c FROM f),
-w AS (SELECT b, f.file, f.n, count(*) AS w FROM (SELECT b, ('0x' || md5('0|' || b || '|' || j)[1:8])::BIGINT % c AS i FROM m, range({B}) x(b), LATERAL (SELECT unnest(range(c)) AS j)) d JOIN f ON d.i = f.i GROUP BY ALL),
+def _cluster_sql(bandwidth):
+    k = f"exp(-{D2} / (2 * {bandwidth} * {bandwidth}))"
+    weights = B.weights_sql("SELECT file, count(*) AS n FROM e GROUP BY file", "file", "''", RESAMPLED_FILES).replace("|| '|' || '' ||", "||")
+    return f"""see AS (SELECT a.file AS fa, b.file AS fb, sum({k}) AS s, sum(CASE WHEN a.id = b.id THEN 1.0::DOUBLE ELSE 0 END) AS tr FROM e a, e b GROUP BY ALL),
+sre AS (SELECT b.file AS f, sum({k}) AS s FROM r a, e b GROUP BY ALL),
+rr AS (SELECT avg({k}) AS k FROM r a, r b WHERE a.id <> b.id), nr AS (SELECT count(*)::DOUBLE AS n FROM r),
+w AS ({weights} UNION ALL SELECT file, count(*) AS n, -1 AS b, '' AS h, 1 AS w FROM e GROUP BY file),
 nn AS (SELECT b, sum(w * n)::DOUBLE AS n FROM w GROUP BY b),
 ee AS (SELECT x.b, sum(x.w * y.w * s) AS s FROM w x JOIN w y ON x.b = y.b JOIN see ON fa = x.file AND fb = y.file GROUP BY x.b),
 tt AS (SELECT b, sum(w * tr) AS t FROM w JOIN see ON fa = file AND fb = file GROUP BY b),
 re AS (SELECT b, sum(w * s) AS s FROM w JOIN sre ON f = file GROUP BY b),
 k AS (SELECT b, rr.k + (ee.s - tt.t) / (nn.n * (nn.n - 1)) - 2 * re.s / (nn.n * nr.n) AS kad FROM nn JOIN ee USING (b) JOIN tt USING (b) JOIN re USING (b), rr, nr)
-SELECT count(*) AS n_resamples, round(quantile_cont(kad, 0.025::DOUBLE), 6) AS ci_lo, round(quantile_cont(kad, 0.975::DOUBLE), 6) AS ci_hi, round(stddev_pop(kad), 6) AS boot_std FROM k""")
+SELECT count(*) FILTER (b >= 0) AS n_resamples, round(max(kad) FILTER (b < 0), 6) AS point, round(quantile_cont(kad, 0.025::DOUBLE) FILTER (b >= 0), 6) AS ci_lo, round(quantile_cont(kad, 0.975::DOUBLE) FILTER (b >= 0), 6) AS ci_hi, round(stddev_pop(kad) FILTER (b >= 0), 6) AS boot_std FROM k"""
+
+
+def _told(k):
+    drawn = F.when(F.col("b") >= 0, F.col("kad"))
+    p = lambda q: F.round(F.percentile(drawn, F.lit(q)), 6)
+    return k.agg(F.count(drawn).alias("n_resamples"), F.round(F.max(F.when(F.col("b") < 0, F.col("kad"))), 6).alias("point"), p(0.025).alias("ci_lo"), p(0.975).alias("ci_hi"), F.round(F.stddev_pop(drawn), 6).alias("boot_std"))
+
+
+@query(f"WITH {V}, e AS (SELECT * FROM v WHERE label >= 5), r AS (SELECT * FROM v WHERE label < 5), {_cluster_sql(BW)}")
 def cluster_bootstrap_kad(t):
     """KAD of resampled files, from per-file kernel sums: one pass over the vectors, whatever the number of resamples."""
-    from pyspark.sql import Window
+    rows = vectors(t)
+    ref = D.ReferenceContext(rows.where("label < 5"), 64, bandwidth=BW)
+    return _told(D.kad_resamples(ref, rows.where("label >= 5"), RESAMPLED_FILES))
 
+
+_SAMPLED = "SELECT * FROM v WHERE label < 5 ORDER BY md5('0|' || id), id LIMIT 150"
+_BAND = f"(SELECT sqrt(median({D2})) FROM (SELECT * FROM r ORDER BY md5('0|' || id), id LIMIT 100) a, (SELECT * FROM r ORDER BY md5('0|' || id), id LIMIT 100) b WHERE a.id < b.id)"
+
+
+@query(f"WITH {V}, e AS (SELECT * FROM v WHERE label >= 5), r AS ({_SAMPLED}), bw AS (SELECT {_BAND} AS x), {_cluster_sql('(SELECT x FROM bw)')}")
+def reference_context_kad(t):
+    """KAD against a sampled reference, its bandwidth by the median rule over a smaller sample of that."""
     rows = vectors(t)
-    r, e, blocks = rows.where("label < 5"), rows.where("label >= 5"), _blocks(rows)
-    see = D.kernel_sums(e, e, BW, blocks).cache()
-    sre = D.kernel_sums(r, e, BW, blocks).groupBy("fb").agg(F.sum("s").alias("s"))
-    rr = D.kernel_sums(r, r, BW, blocks).agg(F.sum("s").alias("s_rr"), F.sum("trace").alias("t_rr")).crossJoin(r.agg(F.count("*").cast("double").alias("n_r")))
-    files = e.groupBy("file").agg(F.count("*").alias("n")).withColumn("i", (F.row_number().over(Window.orderBy("file")) - 1).cast("long"))
-    draws = files.agg(F.count("*").alias("c")).select("c", F.explode(F.sequence(F.lit(0), F.lit(B - 1))).alias("b")).select("c", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("j"))
-    w = draws.select("b", hash_index(0, F.col("c"), F.col("b"), F.col("j")).alias("i")).join(files, "i").groupBy("b", "file", "n").agg(F.count("*").alias("w")).cache()
-    n = w.groupBy("b").agg(F.sum(F.col("w") * F.col("n")).cast("double").alias("n_e"))
-    x, y = w.select("b", F.col("file").alias("fa"), F.col("w").alias("wa")), w.select("b", F.col("file").alias("fb"), F.col("w").alias("wb"))
-    ee = see.join(x, "fa").join(y, ["b", "fb"]).groupBy("b").agg(F.sum(F.col("wa") * F.col("wb") * F.col("s")).alias("s_ee"))
-    tt = see.where("fa = fb").join(x, "fa").groupBy("b").agg(F.sum(F.col("wa") * F.col("trace")).alias("t_ee"))
-    re = sre.join(y, "fb").groupBy("b").agg(F.sum(F.col("wb") * F.col("s")).alias("s_re"))
-    k = n.join(ee, "b").join(tt, "b").join(re, "b").crossJoin(F.broadcast(rr)).select("b", kad_value().alias("kad"))
-    return k.agg(F.count("*").alias("n_resamples"), F.round(F.percentile("kad", F.lit(0.025)), 6).alias("ci_lo"), F.round(F.percentile("kad", F.lit(0.975)), 6).alias("ci_hi"), F.round(F.stddev_pop("kad"), 6).alias("boot_std"))
+    ref = D.ReferenceContext(rows.where("label < 5"), 64, most=150)
+    ref.bandwidth = D.median_bandwidth(ref.sample, most=100)
+    own = D.kernel_sums(ref.sample.withColumn("file", F.lit(0)), None, ref.bandwidth).agg(F.sum("s").alias("s_rr"), F.sum("trace").alias("t_rr"))
+    ref.own = own.crossJoin(ref.sample.agg(F.count("*").cast("double").alias("n_r")))
+    return _told(D.kad_resamples(ref, rows.where("label >= 5"), RESAMPLED_FILES))
+
+
+@query()
+def evaluate_set(t):
+    """FAD and KAD of the evaluated set with intervals over its files; tests hold both against NumPy."""
+    rows = vectors(t)
+    got = D.evaluate_set(D.ReferenceContext(rows.where("label < 5"), 64), rows.where("label >= 5"), 50)
+    return got.select("metric", *[F.round(c, 6).alias(c) for c in ("point", "ci_lo", "ci_hi", "boot_std")], "n_resamples")
+
+
+@query(f"WITH w AS ({B.weights_sql(_VALUES, 'event_type', 'v_order', 100, 3)}), m AS (SELECT event_type, b, median(v) AS m FROM (SELECT event_type, b, v, unnest(range(w)) FROM w) GROUP BY ALL), p AS (SELECT event_type, median(v) AS p, count(*) AS n FROM ({_VALUES}) GROUP BY 1) SELECT event_type, round(any_value(p), 6) AS point, round(quantile_cont(m, 0.025::DOUBLE), 6) AS ci_lo, round(quantile_cont(m, 0.975::DOUBLE), 6) AS ci_hi, round(stddev_pop(m), 6) AS boot_std, count(*) AS n_resamples, any_value(n) AS n_observations FROM m JOIN p USING (event_type) GROUP BY 1")
+def bootstrap_any_statistic(t):
+    """The bootstrap of a statistic of one's own, here the median."""
+    got = B.bootstrap_ci(cell_values(t), ["event_type"], ["v_order"], statistic=B.weighted_percentile(0.5), resamples=100, seed=3)
+    return got.select("event_type", *[F.round(c, 6).alias(c) for c in ("point", "ci_lo", "ci_hi", "boot_std")], "n_resamples", "n_observations")
 
 
 @query(f"WITH {V}, l AS (SELECT id, j, x[j] AS z FROM v, range(1, 65) r(j)) SELECT a.j - 1 AS i, b.j - 1 AS j, round(avg(a.z), 6) AS mean_i, round(covar_samp(a.z, b.z), 8) AS cov FROM l a JOIN l b ON a.id = b.id AND a.j <= b.j GROUP BY ALL")
