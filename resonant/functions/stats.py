@@ -41,13 +41,17 @@ def t_quantile(df: int, level: float = 0.95) -> float:
     return (lo + hi) / 2
 
 
-#: Quantiles shipped as constants; beyond, the normal quantile.
+#: Quantiles shipped as constants; beyond, an expansion in 1 / degrees (right to six digits).
 T_DEGREES = 30
 
 
 def t_column(df: Column, level: float = 0.95) -> Column:
     table = F.array(*[F.lit(t_quantile(d, level)) for d in range(1, T_DEGREES + 1)])
-    return F.when(df.between(1, T_DEGREES), F.get(table, df.cast("int") - 1)).otherwise(F.lit(z_quantile(level)))
+    z, v = z_quantile(level), df.cast("double")
+    # terms of Fisher's expansion of Student's quantile about the normal one; fixed coefficients
+    terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
+    beyond = F.lit(z) + terms[0] / v + terms[1] / (v * v) + terms[2] / (v * v * v)
+    return F.when(df.between(1, T_DEGREES), F.get(table, df.cast("int") - 1)).when(df > T_DEGREES, beyond)
 
 
 def wilson(successes: Column, n: Column, level: float = 0.95) -> Column:

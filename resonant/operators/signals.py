@@ -115,7 +115,7 @@ def transitions(rows: DataFrame, w: int, pairs: int = 200, seed: int = 0) -> Dat
     n, margin = F.size("y"), 2 * w
     count = F.least(F.lit(pairs), F.greatest(F.lit(1), F.floor((n - 2 * margin) / w).cast("int")))
     draws = F.when(n > 4 * margin, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("starts", F.transform(draws, lambda b: hash_index(seed, n - 2 * margin - margin + margin - 2 * w, F.col("id"), b).cast("int") + margin))
+    rows = rows.withColumn("starts", F.transform(draws, lambda b: hash_index(seed, n - 6 * w, F.col("id"), b).cast("int") + margin))
     two = lambda s: (at(F.col("y"), s, w), at(F.col("y"), s + w, w))
     rows = rows.withColumn("d", F.transform("starts", lambda s: spectral_distance(log_spectrum(two(s)[0], w), log_spectrum(two(s)[1], w))))
     return rows.withColumn("r", F.transform("starts", lambda s: jump(rms(two(s)[0]), rms(two(s)[1])))).drop("starts")

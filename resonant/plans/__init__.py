@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_queries, catalog, relational_queries, signal_queries, stats_queries  # noqa: F401
+from . import audio_queries, catalog, relational_queries, signal_queries, stats_queries, summary_queries  # noqa: F401
 
 
 def queries() -> dict:

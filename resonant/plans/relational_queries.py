@@ -66,8 +66,10 @@ def cache_path_rewrite(t):
 
 @query("SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderkey) <= 3 AS keep FROM orders")
 def retention_first_k_per_cell(t):
-    cell = Window.partitionBy("o_orderpriority", "o_orderstatus").orderBy("o_orderkey")
-    return t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", (F.row_number().over(cell) <= 3).alias("keep"))
+    rows = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    # the ranking is limited before and after its shuffle, and only the k rows of each cell are joined back
+    kept = R.first_k(rows, ["o_orderpriority", "o_orderstatus"], [F.col("o_orderkey")], 3).select("o_orderkey", F.lit(True).alias("kept"))
+    return rows.join(kept, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", "o_orderstatus", F.coalesce("kept", F.lit(False)).alias("keep"))
 
 
 # -- filters
@@ -146,11 +148,11 @@ def resume_anti_join(t):
     return R.pending(t.orders.select("o_orderkey", "o_custkey"), done, ["o_orderkey"])
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer c WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_nationkey FROM customer c WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey AND s.s_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def set_semi_anti(t):
     ready = t.supplier.where("s_acctbal > 0").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
     todo = t.customer.select("c_custkey", "c_nationkey").join(ready, "c_nationkey", "left_semi")
-    return R.pending(todo, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_nationkey")
+    return R.pending(todo, t.orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_nationkey")
 
 
 @query("SELECT c_custkey, n_name AS prompt_text FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -271,13 +273,15 @@ def sample_global(t):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY md5('3|' || c_custkey), c_custkey) AS place FROM customer")
 def hash_shuffle_prefix(t):
-    """A seeded full shuffle: the places of all rows. The range sort is distributed; only the counts of its parts meet."""
-    ordered = t.customer.select("c_custkey", hash_order(3, F.col("c_custkey")).alias("h")).withColumn("part", F.substring("h", 1, 2))
+    """A seeded full shuffle: the places of all rows. Parts are hash prefixes, as long as keeps a part near 100,000 rows; only their counts meet."""
+    keys = t.customer.select("c_custkey", hash_order(3, F.col("c_custkey")).alias("h"))
+    digits = keys.agg(F.greatest(F.lit(1), F.ceil(F.log(16.0, F.greatest(F.count("*"), F.lit(1)) / 1e5))).cast("int").alias("digits"))  # one row
+    ordered = keys.crossJoin(F.broadcast(digits)).select("c_custkey", "h", F.expr("substring(h, 1, digits)").alias("part"))
     before = ordered.groupBy("part").agg(F.count("*").alias("n"))
-    start = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows at most
+    start = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each 100,000
     before = before.select("part", F.coalesce(start, F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("h", "c_custkey"))
-    return ordered.withColumn("own", own).join(F.broadcast(before), "part").select("c_custkey", (F.col("start") + F.col("own")).alias("place"))
+    return ordered.withColumn("own", own).join(before, "part").select("c_custkey", (F.col("start") + F.col("own")).alias("place"))
 
 
 # -- set operations

@@ -282,10 +282,9 @@ def frechet_distance(t):
     return D.frechet_distance(rows.where("label < 5"), rows.where("label >= 5"), 64).select(F.round("fad", 6).alias("fad"))
 
 
-# -- the report and the decision: cells are market segment x return flag stand-ins over lineitem and orders
+# -- the report as text
 
 
-RULE = {"seam_pass_fraction_min": 0.5, "grid_pass_fraction_min": 0.5}
 _CELLS = f"""c AS (SELECT l_returnflag AS model, l_linenumber AS duration, count(*)::DOUBLE AS n, count(*) FILTER (l_discount > 0.09)::DOUBLE AS deg,
   count(*) FILTER (l_quantity <= 27 AND l_discount <= 0.09)::DOUBLE AS seam, count(*) FILTER (l_tax <= 0.05 AND l_discount <= 0.09)::DOUBLE AS grid,
   count(*) FILTER (l_quantity <= 27 AND l_tax <= 0.05 AND l_discount <= 0.09)::DOUBLE AS pair, avg(l_extendedprice) AS score FROM lineitem GROUP BY ALL)"""
@@ -309,42 +308,7 @@ def _hi(k):
     return f"(({k} / n + {z} * {z} / (2 * n)) / (1 + {z} * {z} / n) + {z} * sqrt(({k} / n) * (1 - {k} / n) / n + {z} * {z} / (4 * n * n)) / (1 + {z} * {z} / n))"
 
 
-@query(f"WITH {_CELLS} SELECT model, duration, CAST(n AS BIGINT) AS n, round(deg / n, 6) AS degenerate, round({_w('seam')}, 6) AS seam_lo, round({_w('grid')}, 6) AS grid_lo, round({_w('pair')}, 6) AS both_lo, round(score, 6) AS score FROM c")
-def cell_summary(t):
-    r = lambda c: F.round(c, 6)
-    return cells(t).select("model", "duration", "n", r("deg.p").alias("degenerate"), r("seam.ci_lo").alias("seam_lo"), r("grid.ci_lo").alias("grid_lo"), r("both.ci_lo").alias("both_lo"), r("score").alias("score"))
-
-
-def verdicts(t):
-    """Per cell: seam and grid by the lower bound, score strictly above the peer median."""
-    c = cells(t)
-    peers = c.groupBy("duration").agg(F.median("score").alias("med"))
-    seam, grid = nan.at_least(F.col("seam.ci_lo"), RULE["seam_pass_fraction_min"]), nan.at_least(F.col("grid.ci_lo"), RULE["grid_pass_fraction_min"])
-    text = nan.above(F.col("score"), F.col("med"))
-    return c.join(peers, "duration").select("model", "duration", seam.alias("seam"), grid.alias("grid"), text.alias("clap"), (seam & grid & text).alias("pass"))
-
-
-@query(f"WITH {_CELLS}, p AS (SELECT duration, median(score) AS med FROM c GROUP BY 1), v AS (SELECT model, duration, {_w('seam')} >= 0.5 AS seam, {_w('grid')} >= 0.5 AS grid, score > med AS clap FROM c JOIN p USING (duration)) SELECT model || '|' || duration AS verdict_key, seam, grid, clap, seam AND grid AND clap AS pass, CASE WHEN (SELECT bool_or(seam AND grid AND clap) FROM v) THEN 2 ELSE 1 END AS branch FROM v")
-def decision_rule(t):
-    v = verdicts(t)
-    branch = v.agg(F.when(F.bool_or("pass"), 2).otherwise(1).alias("branch"))
-    return v.crossJoin(F.broadcast(branch)).select(F.concat_ws("|", "model", "duration").alias("verdict_key"), "seam", "grid", "clap", "pass", "branch")
-
-
 @query(f"WITH {_CELLS} SELECT duration, string_agg('| ' || model || ' | ' || printf('%.3f [%.3f, %.3f]', seam / n, {_w('seam')}, {_hi('seam')}) || ' |', chr(10) ORDER BY model) AS rows FROM c GROUP BY 1")
 def summary_markdown_rows(t):
     line = F.concat(F.lit("| "), F.col("model"), F.lit(" | "), stats.fmt(F.col("seam.p"), F.col("seam.ci_lo"), F.col("seam.ci_hi")), F.lit(" |"))
     return cells(t).select("duration", F.struct("model", line.alias("line")).alias("r")).groupBy("duration").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"]), "\n").alias("rows"))
-
-
-@query(f"""WITH s AS (SELECT l_returnflag AS model, l_linenumber AS set_idx, avg(l_extendedprice) / 1000 AS fad, quantile_cont(l_extendedprice, 0.025::DOUBLE) / 1000 AS lo, quantile_cont(l_extendedprice, 0.975::DOUBLE) / 1000 AS hi FROM lineitem GROUP BY ALL),
-b AS (SELECT model, avg(fad) AS mean, coalesce(stddev_samp(fad) / sqrt(count(*)), 0) AS se, count(*) AS k, avg(lo) AS blo, avg(hi) AS bhi FROM s GROUP BY 1),
-h AS (SELECT *, CASE WHEN k > 1 THEN [{T}][k - 1] * se ELSE 0 END AS half FROM b)
-SELECT model, round(mean, 6) AS mean, k, round(blo, 6) AS boot_lo, round(bhi, 6) AS boot_hi, round(least(mean - half, blo), 6) AS ci_lo, round(greatest(mean + half, bhi), 6) AS ci_hi FROM h""")
-def distributional_summary(t):
-    p = lambda q: (F.percentile("l_extendedprice", F.lit(q)) / 1000)
-    sets = t.lineitem.groupBy(F.col("l_returnflag").alias("model"), F.col("l_linenumber").alias("set_idx")).agg((F.avg("l_extendedprice") / 1000).alias("fad"), p(0.025).alias("lo"), p(0.975).alias("hi"))
-    b = sets.groupBy("model").agg(stats.between_set(F.col("fad")).alias("b"), F.avg("lo").alias("blo"), F.avg("hi").alias("bhi"))
-    b = b.withColumn("c", stats.combined(F.col("b.ci_lo"), F.col("b.ci_hi"), F.col("blo"), F.col("bhi")))
-    r = lambda c, n: F.round(c, 6).alias(n)
-    return b.select("model", r("b.mean", "mean"), F.col("b.k").alias("k"), r("blo", "boot_lo"), r("bhi", "boot_hi"), r("c.ci_lo", "ci_lo"), r("c.ci_hi", "ci_hi"))

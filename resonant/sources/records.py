@@ -68,6 +68,25 @@ def dimension(spark: SparkSession, items: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([[i.get(n) for n in kind.names] for i in items], kind)
 
 
+def read_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents that span lines, one or more files of them, read on the executors."""
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def directories(spark: SparkSession, root: str, pattern: str) -> list[str]:
+    """The names of the folders below ``root`` that fit a pattern, sorted; a listing, no file is opened."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{pattern}")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return sorted(f.getPath().getName() for f in found or [] if f.isDirectory())
+
+
+def discover_logs(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """(path, place, line) of every log of that name at any depth below ``root``."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root)
+    return found.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+
+
 def list_files(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
     """path, size and time of the files below a folder with one of the suffixes, in any case; contents are not read."""
     match = "|".join(s.lstrip(".").lower() for s in suffixes)

@@ -49,6 +49,8 @@ def compare(df, sql: str, con) -> str | None:
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     want, got = canon(names, rel.fetchall()), canon(df.columns, [tuple(r) for r in df.collect()])
+    if not want:
+        return "the equivalent has no rows, so nothing is compared"
     if len(want) != len(got):
         return f"{len(got)} rows, not {len(want)}"
     for a, b in zip(got, want):
