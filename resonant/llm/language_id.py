@@ -12,29 +12,32 @@ For each document and language the log posterior adds up
   aggregation per host, per domain and over all, each level smoothed towards the
   next by ``alpha`` documents.
 
-The text model is fitted on at most ``FIT_ROWS`` labelled rows, those of least
-hash; all other counts cover every row. Priors are joined by host, never
-collected or broadcast.
+The text model is fitted on labelled rows of a table of its own: at most
+``FIT_ROWS`` of each language, those of least hash; all other counts cover every
+row. The label may not be the column that serves as evidence. Declarations and
+labels are compared by their primary subtag (``en-US`` is ``en``). Priors are
+joined by host, never collected or broadcast.
 
 Defined cases: a text without a letter (null, empty, digits only) is ``und`` and
 rejected; one too short for a trigram goes by its other evidence; a row whose
 best posterior is below ``least`` is rejected; a null host takes
-the overall prior; a null or unknown declaration is no evidence; repeated rows
-count each; without any label every row is ``und``; extra columns are ignored.
+the overall prior; a null or unknown declaration is no evidence; of equal posteriors
+the language of least name wins; repeated rows count each; without any label every
+row is ``und``; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytescan
 from .scratch import materialise
 
-#: Labelled rows that the text model is fitted on, at most.
-FIT_ROWS = 4000
+#: Labelled rows of each language that the text model is fitted on, at most.
+FIT_ROWS = 1000
 BUCKETS = 1 << 15
 UND = "und"
 
@@ -57,9 +60,15 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return code[use], so_far[offsets], letters
 
 
+def primary(tag):
+    """The primary subtag of a language tag, in lower case; empty where there is none."""
+    return F.lower(F.regexp_extract(F.trim(tag.cast("string")), r"^([A-Za-z]+)", 1))
+
+
 def _count(batches):
-    totals: dict[str, np.ndarray] = {}
+    """(label, bucket, n): trigrams of each batch by label, the buckets that occur."""
     for batch in batches:
+        totals: dict[str, np.ndarray] = {}
         data, offsets = bytescan.text_buffer(batch.column("text"))
         labels = batch.column("label").to_pylist()
         for i, j in bytescan.pieces(offsets):
@@ -67,24 +76,31 @@ def _count(batches):
             for t in range(j - i):
                 own = totals.setdefault(labels[i + t], np.zeros(BUCKETS, np.int64))
                 own += np.bincount(codes[cuts[t] : cuts[t + 1]], minlength=BUCKETS)
-    if totals:
-        yield pa.RecordBatch.from_pylist([{"label": k, "counts": v.tobytes()} for k, v in totals.items()], pa.schema([("label", pa.string()), ("counts", pa.binary())]))
+        for label, counts in totals.items():
+            at = np.flatnonzero(counts)
+            # a label whose texts are too short for a trigram is still a language
+            at = at if len(at) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["label", "bucket", "n"])
 
 
-def fit(docs: DataFrame, label: str, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages, and their log probability of each trigram bucket, from at most ``rows`` labelled rows.
+def fit(rows: DataFrame, most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages, and their log probability of each trigram bucket, from rows (text, label): at most ``most`` of each label.
 
-    What reaches the driver is one count vector for each task and language.
+    Counts are summed in the cluster; a vector of ``BUCKETS`` numbers for each language reaches the driver.
     """
-    named = docs.where(F.col(label).isNotNull()).select("doc_id", F.lower(F.trim(label)).alias("label"), F.col("text").cast("binary").alias("text"))
-    chosen = named.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    counted = named.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_count, "label string, counts binary")
-    totals: dict[str, np.ndarray] = {}
-    for name, raw in counted.collect():
-        totals[name] = totals.get(name, 0) + np.frombuffer(raw, np.int64)
-    names = sorted(totals)
-    counts = np.array([totals[n] for n in names], np.float64).reshape(len(names), BUCKETS) + 0.05
-    return names, np.log(counts / counts.sum(axis=1, keepdims=True))
+    named = rows.select(primary(F.col("label")).alias("label"), F.col("text").cast("binary").alias("text")).where("label <> '' and text is not null")
+    keyed = named.withColumn("key", F.xxhash64("text"))
+    # the ranking's limit is applied before its shuffle, of which texts are no part
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("key"))
+    chosen = keyed.select("label", "key").withColumn("rank", rank).where(F.col("rank") <= most).select("label", "key").distinct()
+    counted = keyed.join(chosen, ["label", "key"], "left_semi").dropDuplicates(["label", "key"]).select("label", "text").mapInArrow(_count, "label string, bucket long, n long")
+    found = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
+    names = sorted({r[0] for r in found})
+    counts = np.full((len(names), BUCKETS), 0.05)
+    place = {n: i for i, n in enumerate(names)}
+    for label, bucket, n in found:
+        counts[place[label], bucket] += n
+    return names, np.log(counts / counts.sum(axis=1, keepdims=True)) if names else counts
 
 
 def _score(names: list[str], model, dependence: float):
@@ -107,12 +123,12 @@ def _score(names: list[str], model, dependence: float):
     return run
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", address: str | None = "source", label: str | None = None,
+def identify(docs: DataFrame, training: DataFrame, text: str = "text", declared: str | None = "lang", address: str | None = "source", key: str = "doc_id",
              least: float = 0.5, alpha: float = 20.0, dependence: float = 0.2, trust_declared: float = 0.9, trust_suffix: float = 0.8, und_prior: float = 0.01) -> DataFrame:
-    """doc_id, language, confidence, second (runner-up), n_letters and accepted of every row.
+    """doc_id (the column ``key``), language, confidence, second (runner-up), n_letters and accepted of every row.
 
-    ``address`` is a host or a URL; ``label`` (``declared`` by default) names the
-    column of the rows to fit on.
+    ``training`` holds text and label, from elsewhere than the column ``declared``;
+    ``address`` is a host or a URL.
     """
     null = F.lit(None).cast("string")
     where = F.col(address).cast("string") if address else null
@@ -120,10 +136,9 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     path = F.regexp_extract(where, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([A-Za-z]{2})(?:[/_-]|$)", 1)
     tail = F.when(F.instr(host, ".") > 0, F.element_at(F.split(host, r"\."), -1))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"),
-        (F.lower(F.regexp_extract(F.trim(F.col(declared).cast("string")), r"^([A-Za-z]+)", 1)) if declared else null).alias("declared"),
+        F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), (primary(F.col(declared)) if declared else null).alias("declared"),
         F.when(host != "", host).alias("host"), F.when(path != "", F.lower(path)).otherwise(tail).alias("suffix"))
-    names, model = fit(docs.select("doc_id", F.col(text).alias("text"), F.col(label or declared).alias("label")), "label")
+    names, model = fit(training)
     classes = [*names, UND]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, declared string, host string, suffix string, seen long, text_ll array<double>"
@@ -164,3 +179,11 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         "doc_id", F.when(none, UND).otherwise(best.c).alias("language"), F.when(none, 0.0).otherwise(-best.p).alias("confidence"),
         F.when(~none, second.c).alias("second"), F.col("seen").alias("n_letters"),
         (~none & (best.c != UND) & (-best.p >= least)).alias("accepted"))
+
+
+def of_pages(pages: DataFrame) -> DataFrame:
+    """page_id, url, the text of the page, and the language that its markup declares."""
+    html = F.col("html").cast("string")
+    text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    declared = F.regexp_extract(html, r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
+    return pages.select("page_id", "url", F.regexp_replace(text, r"&[A-Za-z0-9#]+;", " ").alias("text"), F.when(declared != "", declared).alias("declared"))

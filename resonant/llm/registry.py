@@ -37,10 +37,20 @@ def op4_line_templates(spark, sf_dir):
 
 
 def op5_language_id(spark, sf_dir):
-    got = language_id.identify(_read(spark, sf_dir, "documents"), text="text", declared="lang", address="source")
+    """Texts are judged by a model of pages, so a document's declared language is evidence alone."""
+    training = language_id.of_pages(_read(spark, sf_dir, "pages")).select("text", F.col("declared").alias("label"))
+    got = language_id.identify(_read(spark, sf_dir, "documents"), training, text="text", declared="lang", address="source")
     return got.withColumn("confidence", F.round("confidence", 6))
 
 
+def language_of_pages(spark, sf_dir):
+    """Operator 5 over pages: their markup, hosts and paths as evidence, a model of labelled documents for the text."""
+    pages = language_id.of_pages(_read(spark, sf_dir, "pages"))
+    training = _read(spark, sf_dir, "documents").select("text", F.col("lang").alias("label"))
+    got = language_id.identify(pages, training, text="text", declared="declared", address="url", key="page_id")
+    return got.withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"), k=5, percent=80)
 
@@ -63,5 +73,5 @@ def op10_benchmark_overlap(spark, sf_dir):
     return decontam.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op3_url_lists, op4_line_templates, op5_language_id, op6_ngram_jaccard, op7_unit_dedup, op8_license_scan, op9_vector_near_dups, op10_benchmark_overlap)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_packing, op3_url_lists, op4_line_templates, op5_language_id, op6_ngram_jaccard, op7_unit_dedup, op8_license_scan, op9_vector_near_dups, op10_benchmark_overlap, language_of_pages)}
 ORACLE_SQL = {"op3_url_lists": url_lists.ORACLE, "op8_license_scan": license_scan.ORACLE, "op4_line_templates": line_templates.ORACLE, "op7_unit_dedup": unit_dedup.ORACLE}

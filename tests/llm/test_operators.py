@@ -148,11 +148,77 @@ def test_language(spark):
     held = [(1000 + i, " ".join(rng.choice(vocab[k]) for _ in range(15)), None, None, k) for i, k in enumerate(list(vocab) * 5)]
     odd = [(2000, None, "en", "a"), (2001, "", None, None), (2002, "12 34", "de", "a"), (2003, "qzx" * 200, None, None), (None, "the thing", "en", "a")]
     df = spark.createDataFrame(rows + [h[:4] for h in held] + odd, "doc_id long, text string, lang string, source string")
-    got = {r.doc_id: r for r in language_id.identify(df).collect()}
-    assert all(got[h[0]].language == h[4] and got[h[0]].accepted for h in held)  # held out: no label, no host
+    training = spark.createDataFrame([(t, f"{k.upper()}-x") for _, t, k, _ in rows[:60]] + [(None, "en"), ("the", None)], "text string, label string")
+    got = {r.doc_id: r for r in language_id.identify(df.withColumn("label", F.lit(1)), training).collect()}
+    assert all(got[h[0]].language == h[4] and got[h[0]].accepted for h in held)  # no declaration, no host
     assert all(got[r[0]].language == r[2] for r in rows)
     assert not any(got[i].accepted for i in (2000, 2001, 2002, 2003)) and got[None].accepted
-    assert language_id.identify(df.limit(0)).count() == 0
+    assert language_id.identify(df.limit(0), training).count() == 0
+    assert {r.language for r in language_id.identify(df, training.limit(0)).collect()} == {"und"}
+
+
+def posteriors_by_force(rows, training, alpha=20.0, dependence=0.2, trust=(0.9, 0.8), und=0.01):
+    """(id, text, declared, host, suffix) to the probabilities of each language and und, one row and term at a time."""
+    def buckets(text):
+        raw = text.lower().encode()
+        letter, digit = [97 <= b < 123 for b in raw], [48 <= b < 58 for b in raw]
+        return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 17 for i in range(len(raw) - 2) if any(letter[i : i + 3]) and not any(digit[i : i + 3])]
+
+    names = sorted({k for _, k in training})
+    counts = {k: np.full(1 << 15, 0.05) for k in names}
+    for t, k in training:
+        for b in buckets(t):
+            counts[k][b] += 1
+    classes = [*names, "und"]
+
+    def softmax(x):
+        e = np.exp(np.array(x) - max(x))
+        return e / e.sum()
+
+    evidence = []
+    for _, text, declared, _, suffix in rows:
+        ll = [dependence * sum(np.log(counts[k][b] / counts[k].sum()) for b in buckets(text)) for k in names] + [-dependence * np.log(1 << 15) * len(buckets(text))]
+        for told, t in ((declared, trust[0]), (suffix, trust[1])):
+            if told in names:
+                ll = [v + np.log(t if c == told else (1 - t) / (len(classes) - 1)) for v, c in zip(ll, classes)]
+        evidence.append(ll)
+    first = [softmax(ll) for ll in evidence]
+    domain = lambda h: ".".join(h.split(".")[-2:]) if h else None
+    floor = np.array([(1 - und) / len(names)] * len(names) + [und])
+    smooth = lambda chosen, below: (sum(chosen, np.zeros(len(classes))) + alpha * below) / (len(chosen) + alpha)
+    top = smooth(first, floor)
+    out = {}
+    for (i, _, _, host, _), ll in zip(rows, evidence):
+        mid = smooth([p for p, r in zip(first, rows) if domain(r[3]) == domain(host)], top)
+        own = smooth([p for p, r in zip(first, rows) if r[3] == host], mid)
+        out[i] = dict(zip(classes, softmax(np.array(ll) + np.log(top if host is None else own))))
+    return out
+
+
+def test_language_posteriors_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = {"en": ["the", "shall", "which", "thing"], "de": ["und", "nicht", "durch", "auch"], "fr": ["quelle", "aussi", "leur", "pour"]}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    training = [(say(k, 12), k) for k in words for _ in range(6)]
+    hosts = ["a.example.de", "b.example.de", "www2.fr", "c.test.org", None]
+    rows = []
+    for i in range(60):
+        k, host = rng.choice(list(words)), rng.choice(hosts)
+        rows.append((i, say(k, rng.randrange(1, 3)) + rng.choice(["", " 12a3 xq"]), rng.choice([k, "de", None, "zz"]), host, host.split(".")[-1] if host else None))
+    want = posteriors_by_force(rows, training)
+    df = spark.createDataFrame([(i, t, f"{d}-XY" if d else None, f"https://{h}:80/x?y" if h else None) for i, t, d, h, _ in rows], "doc_id long, text string, lang string, source string")
+    got = language_id.identify(df, spark.createDataFrame(training, "text string, label string")).collect()
+    assert len(got) == 60
+    for r in got:
+        best = sorted(want[r.doc_id].items(), key=lambda x: (-x[1], x[0]))
+        assert abs(best[0][1] - r.confidence) < 1e-9 and (best[0][0] == r.language or abs(best[0][1] - best[1][1]) < 1e-9)
+
+
+def test_pages_as_evidence(spark):
+    html = '<!DOCTYPE html><HTML class="x" LANG="fr-CA"><head><script>var lang="de";</script></head><body><!-- und nicht --><p>quelle &amp; aussi</p></body>'
+    df = spark.createDataFrame([(1, "https://x.example.com/fr/1", html), (2, None, None)], "page_id long, url string, html string")
+    one, two = language_id.of_pages(df).orderBy("page_id").collect()
+    assert one.declared == "fr-CA" and one.text.split() == ["quelle", "aussi"] and two.text is None and two.declared is None
 
 
 def shingles(text):
