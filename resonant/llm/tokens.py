@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from . import bytescan
 
-_SLOTS = 1 << 21
+_SLOTS = 1 << 20
 #: Ids held for remembered runs; then the table starts anew.
 _MOST_IDS = 6_000_000
 #: Bytes held of remembered runs, likewise.
@@ -165,7 +165,7 @@ class Encoder:
         head = bytescan.eights(buffer, starts, ends)
         keys = bytescan.span_hashes(low, starts, ends, head)
         sizes = (ends - starts).astype(np.uint32)
-        slots = (keys >> np.uint64(43)).astype(np.int64)
+        slots = (keys >> np.uint64(44)).astype(np.int64)
         # the first eight bytes are held as a number, all of them for the runs beyond
         known = np.flatnonzero((self.head[slots] == head) & (self.bytes_long[slots] == sizes))
         known = known[self._same(buffer, starts[known], ends[known], self.raw_at[slots[known]])]

@@ -129,6 +129,32 @@ def test_line_templates(spark):
     assert four.where("n_dropped > 0").count() == 0
 
 
+@pytest.mark.parametrize("places, length", [((7,), 14), ((5, 9), 14), ((4, 8), 20), ((2,), 5), ((0,), 12), ((0, 1), 12)])
+def test_lines_that_vary_in_words(spark, places, length):
+    """Varying words at any one or two places of a line that is otherwise the same; no digit marks them."""
+    rng = random.Random(4)
+    fixed = prose(rng, length).split()
+    rows = []
+    for i in range(10):
+        w = list(fixed)
+        for p in places:
+            w[p] = WORDS[100 + 11 * i + p]
+        rows.append((i, f"{prose(rng, 13)}\n{' '.join(w)}"))
+    got = line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    assert sum(r.n_dropped for r in got) == 9 and all(r.n_dropped == 0 or r.text == rows[r.doc_id][1].split("\n")[0] for r in got)
+
+
+def test_unlike_lines_of_one_leaf_stay(spark):
+    """Lines that agree in every third place alone are no template."""
+    rng = random.Random(7)
+    frame = [WORDS[j] if j % 3 == 0 else None for j in range(24)]
+    rows = [(i, " ".join(w or rng.choice(WORDS) for w in frame)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit(n).alias(n) for n in ("_d", "_t", "_drops", "d", "t", "drops", "row", "a.b")])
+    got = line_templates.drop_recurring_lines(df, 5)
+    assert got.columns[: len(df.columns)] == df.columns and got.where("n_dropped > 0").count() == 0
+    assert all(tuple(r)[2:10] == tuple(df.columns[2:]) for r in got.collect())
+
+
 def test_long_lines_recur_from_two_documents_on(spark):
     rng = random.Random(6)
     passage, short, numbers = prose(rng, 51), prose(rng, 10), " ".join(f"{i}.5" for i in range(60))
@@ -388,6 +414,20 @@ def test_licenses(spark):
     assert got == [(1, 1, "Apache-2.0/notice"), (1, 2, "MIT/notice"), (5, 0, "MIT/grant")]
 
 
+def test_license_tags_terms_and_defined_cases(spark):
+    whole = ["MIT/grant", "MIT/condition", "MIT/warranty"]
+    body = textwrap.fill(" ".join(license_scan.TEMPLATES[n] for n in whole), 76)
+    rows = [(1, "// SPDX-License-Identifier: MIT"), (2, "# SPDX-License-Identifier: Apache-2.0"), (3, f"intro\n{body}\nend"), (3, f"intro\n{body}\nend"), (4, license_scan.TEMPLATES["GPL-2.0/terms"]), (5, license_scan.TEMPLATES["AGPL-3.0/terms"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *[F.lit(1).alias(n) for n in ("lines", "line", "known", "found", "a.b")])
+    got = {}
+    for r in license_scan.scan(df).collect():
+        got.setdefault(r.doc_id, []).append(r.license)
+    assert got[1] == ["MIT/tag"] and got[2] == ["Apache-2.0/tag"] and sorted(got[3]) == sorted(whole * 2) and got[4] == ["GPL-2.0/terms"] and got[5] == ["AGPL-3.0/terms"]
+    assert license_scan.scan(df.limit(0)).count() == 0
+    assert license_scan.scan(df, {"one": "word", "none": ""}).count() == 0  # templates without a bigram match nothing
+    assert license_scan.scan(spark.createDataFrame([(1, "word " * 200_000)], "doc_id long, text string")).count() == 0
+
+
 def test_wrapped_and_commented_licenses(spark):
     t = license_scan.TEMPLATES
     grant = textwrap.wrap(t["MIT/grant"], 76)
