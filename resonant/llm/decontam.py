@@ -1,20 +1,23 @@
-"""Operator 10: benchmark decontamination by hashed seeds and counted hits.
+"""Operator 10: benchmark decontamination by spaced seeds, joined on their hashes.
 
 Words are runs of letters and digits in lower case, so punctuation does not
 matter. A document is laid against an item without gaps, and the best stretch (one
 for an equal word, minus two for another) must hold ``least`` equal words (or
 ``share`` of a shorter item's) with ``identity`` of its words equal.
 
-The hash of every ``RUN`` consecutive words is looked up among those of the
-benchmark. A stretch of n equal and e other words has at least n - (RUN - 1) * (e + 1)
-hits in one alignment, and what is accepted bounds n and e; so an alignment is
-verified when it has the least number of hits that any accepted stretch of its item
-can have (``hits_needed``), and none that verification accepts is left out.
+Seeds are spaced: each of an item's fixed ``MASKS`` takes some places of a window and
+ignores those between, and the hash of the words that it takes at every place of a
+document is joined to those of the benchmark. A stretch of n equal and e other words
+holds n + e - span + 1 windows of a mask, and another word falls on as many of them as
+the mask takes places, so its alignment has at least n + e - span + 1 - weight * e hits.
+What is accepted bounds n and e; an alignment is verified when it has the least number
+of hits that any accepted stretch of its item can have (``seeds_for``), and none that
+verification accepts is left out.
 
-The benchmark is the query set: it is sent to the tasks in blocks of at most
-``BLOCK_WORDS`` words, each of which is run against all documents, so its size
-is bounded whatever the benchmark's. Documents stream through once per block;
-nothing is shuffled.
+The benchmark is the query set: it is sent to the tasks in blocks of about
+``BLOCK_WORDS`` words or ``BLOCK_BYTES`` bytes (an item is never cut), each of which is
+run against all documents, so its size is bounded whatever the benchmark's. Documents
+stream through once per block; nothing is shuffled.
 
 Defined cases: a null or empty text or item matches nothing, nor does an item of
 fewer than ``SHORTEST`` words; equal items and repeated rows match each; an empty table gives no rows;
@@ -32,12 +35,10 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 
-RUN, SHORTEST = 3, 6
-#: The longer masks of single substitutions; whatever they hit has the runs that are looked up now.
-SPAN = 11
-#: Places that each mask takes, of SPAN; every single place is ignored by one of them.
-MASKS = [(0, 1, 3, 4, 6, 7, 9, 10), (0, 2, 3, 5, 6, 8, 9), (1, 2, 4, 5, 7, 8, 10)]
-BLOCK_WORDS = 500_000
+SHORTEST = 6
+#: Places that each mask takes, the rest up to its last is ignored; an item takes the first row that cannot miss it.
+MASKS = [[(0, 1, 3), (0, 2, 3)], [(0, 2)], [(0,)]]
+BLOCK_WORDS, BLOCK_BYTES = 500_000, 1 << 23
 #: Pairs of a place and a seed at a time, to bound memory.
 PAIRS = 1 << 21
 _FILTER_BITS = 22
@@ -52,22 +53,25 @@ def _words(data: np.ndarray, offsets: np.ndarray):
     return bytescan.span_hashes(low, starts, ends), bounds, starts, ends
 
 
-def hits_needed(words: int, least: int, share: float, identity: float) -> tuple[int, int]:
-    """The length of the runs to look up for an item of so many words, RUN at most, and the hits of an alignment that may be accepted."""
+def seeds_for(words: int, least: int, share: float, identity: float) -> tuple[int, int]:
+    """The row of MASKS for an item of so many words, and the hits in all of an alignment that may be accepted."""
     fewest = max(1, math.ceil(min(least, np.ceil(share * words))))
-    able = [(n, e) for n in range(fewest, words + 1) for e in range(words - n + 1) if n >= identity * (n + e)]
-    for run in range(RUN, 0, -1):
-        hits = min((n - (run - 1) * (e + 1) for n, e in able), default=0)
+    # of each n, the greatest e that may be accepted leaves the fewest hits
+    able = [(n, min(words - n, int(n / identity - n + 1e-9))) for n in range(fewest, words + 1)]
+    for row, masks in enumerate(MASKS):
+        hits = min((sum(max(0, n + e - mask[-1] - len(mask) * e) for mask in masks) for n, e in able), default=0)
         if hits > 0:
-            return run, hits
-    return 1, 1  # nothing of the item can be accepted
+            return row, hits
+    return len(MASKS) - 1, 1  # nothing of the item can be accepted
 
 
-def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(max(0, len(words) - n + 1), np.uint64(1000 + n), np.uint64)
-    for place in range(n if len(h) else 0):
-        h = h * _BASE + words[place : place + len(h)]
-    return bytescan.mix(h)
+def _seeds(words: np.ndarray, row: int, mask: tuple[int, ...]) -> np.ndarray:
+    """The hash of what the mask takes at each place that its window fits in."""
+    n = max(0, len(words) - mask[-1])
+    h = np.full(n, np.uint64(1000 + 10 * row + MASKS[row].index(mask)), np.uint64)
+    for place in mask if n else ():
+        h = bytescan.mix(h * _BASE + words[place : place + n])
+    return h
 
 
 class Index:
@@ -85,13 +89,14 @@ class Index:
             if len(own) < SHORTEST:
                 continue
             if len(own) not in plans:
-                plans[len(own)] = hits_needed(len(own), least, share, identity)
-            run, self.needed[i] = plans[len(own)]
-            h = _runs(own, run)
-            hashes.append(h)
-            items.append(np.full(len(h), i))
-            places.append(np.arange(len(h)))
-        self.runs = sorted({run for run, _ in plans.values()})
+                plans[len(own)] = seeds_for(len(own), least, share, identity)
+            row, self.needed[i] = plans[len(own)]
+            for mask in MASKS[row]:
+                h = _seeds(own, row, mask)
+                hashes.append(h)
+                items.append(np.full(len(h), i))
+                places.append(np.arange(len(h)))
+        self.masks = [(row, mask) for row in sorted({row for row, _ in plans.values()}) for mask in MASKS[row]]
         none = np.empty(0, np.int64)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         order = np.argsort(h, kind="stable")
@@ -114,8 +119,8 @@ class Index:
         """Document, item and the place where the item's first word lies, wherever the hits suffice."""
         width, docs = len(words) + len(self.words) + 1, len(bounds)
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for run in self.runs:
-            for at, seed in self.hits(_runs(words, run)):
+        for row, mask in self.masks:
+            for at, seed in self.hits(_seeds(words, row, mask)):
                 doc = np.searchsorted(bounds, at, "right") - 1
                 key, n = np.unique((self.items[seed] * docs + doc) * width + at - self.places[seed] + len(self.words), return_counts=True)
                 keys, inverse = np.unique(np.concatenate([keys, key]), return_inverse=True)
@@ -163,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: floa
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    out, ids, texts, words = None, [], [], 0
+    out, ids, texts, words, size = None, [], [], 0, 0
     schema = "doc_id long, item_id long, start_byte long, end_byte long, item_start int, n_words int, n_equal int"
 
     def searched():
@@ -174,9 +179,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: floa
         ids.append(row[0])
         texts.append(bytes(row[1]))
         words += len(row[1].split())
-        if words >= block_words:
+        size += len(row[1])
+        if words >= block_words or size >= BLOCK_BYTES:
             out = searched() if out is None else out.unionByName(searched())
-            ids, texts, words = [], [], 0
+            ids, texts, words, size = [], [], 0, 0
     if ids or out is None:
         out = searched() if out is None else out.unionByName(searched())
     return out

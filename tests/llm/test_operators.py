@@ -499,8 +499,29 @@ def test_decontamination(spark):
     assert decontam.overlaps(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_every_single_place_is_ignored_by_a_mask():
-    assert all(any(p not in m for m in decontam.MASKS) for p in range(decontam.SPAN))
+def test_masks_are_spaced_and_lose_no_accepted_stretch():
+    """Every row but the last ignores a place within each mask; the hits stated are a lower bound for each placing of e other words."""
+    assert all(set(range(mask[-1])) - set(mask) for row in decontam.MASKS[:-1] for mask in row)
+    rng = random.Random(4)
+    for length in (6, 8, 10, 13, 15, 17, 24):
+        row, hits = decontam.seeds_for(length, 12, 0.8, 0.8)
+        assert hits >= 1 and (length == 6) == (row > 0)
+        for n in range(min(12, -(-length * 4 // 5)), length + 1):
+            for e in (e for e in range(length - n + 1) if n >= 0.8 * (n + e)):
+                for _ in range(50):
+                    other = set(rng.sample(range(n + e), e))
+                    assert hits <= sum(not other & {at + p for p in mask} for mask in decontam.MASKS[row] for at in range(n + e - mask[-1]))
+
+
+def test_a_long_item_and_blocks_by_bytes(spark, monkeypatch):
+    """An item of 30,000 words, found in a text that holds 40 of them; blocks that close by bytes find the same."""
+    rng = random.Random(6)
+    item = [f"x{rng.randrange(10**6)}" for _ in range(30_000)]
+    docs = spark.createDataFrame([(1, "before " + " ".join(item[500:540]) + " after"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[510:530]))], "item_id long, text string")
+    for limit in (decontam.BLOCK_BYTES, 10):
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", limit)
+        assert sorted((r.doc_id, r.item_id, r.n_equal) for r in decontam.overlaps(docs, items).collect()) == [(1, 1, 40), (1, 2, 20)]
 
 
 def accepted_by_force(words, own, least=12, share=0.8, identity=0.8):
