@@ -187,16 +187,45 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in TEMPLATES.items())
-    cut = lambda c: f"string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ')"
-    grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
+    cut = lambda c: f"[x FOR x IN string_split(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), ' ') IF x <> '']"
+    pairs = "[w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]"
+    # of passages in order, the first of each that overlap
+    apart = "list_reduce([[x] FOR x IN ps], lambda kept, x: CASE WHEN len([k FOR k IN kept IF k.start <= x[1].upto AND x[1].start <= k.upto]) > 0 THEN kept ELSE list_concat(kept, x) END)"
     return f"""
-WITH t AS (SELECT license, {grams} AS g FROM (SELECT license, {cut('body')} AS w FROM (VALUES {rows}) v(license, body))),
-lines AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
-cut AS (SELECT doc_id, line, content, {grams} AS g FROM (SELECT doc_id, line, content, {cut('content')} AS w FROM lines) WHERE len(w) > 1),
-scored AS (
-  SELECT doc_id, line, content, license, 2.0::DOUBLE * len(list_intersect(cut.g, t.g)) / (len(cut.g) + len(t.g)) AS dice FROM cut, t)
-SELECT doc_id, CAST(line AS INTEGER) AS line, min_by(license, struct_pack(d := -dice, l := license)) AS license, round(max(dice), 6) AS dice, any_value(content) AS content
-FROM scored WHERE dice >= 0.8 GROUP BY doc_id, line
+WITH t AS MATERIALIZED (
+  SELECT license, g, len(g) AS b, CAST(ceil(0.8 / 1.2 * len(g) - 1e-9) AS BIGINT) AS lo, CAST(floor(1.2 / 0.8 * len(g) + 1e-9) AS BIGINT) + len(w) - 1 - len(g) AS most
+  FROM (SELECT license, w, list_distinct({pairs}) AS g FROM (SELECT license, {cut('body')} AS w FROM (VALUES {rows}) v(license, body)))),
+docs AS MATERIALIZED (
+  SELECT r, doc_id, p, lw, w, {pairs} AS grams FROM (
+    SELECT r, doc_id, p, lw, flatten(lw) AS w FROM (
+      SELECT r, doc_id, p, [{cut('s')} FOR s IN p] AS lw FROM (
+        SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL)))),
+lines AS (SELECT r, line, list_distinct({pairs}) AS g FROM (SELECT r, unnest(range(len(lw))) AS line, unnest(lw) AS w FROM docs) WHERE len(w) > 1),
+scored AS (SELECT r, line, license, 2.0::DOUBLE * len(list_intersect(lines.g, t.g)) / (len(lines.g) + t.b) AS dice FROM lines, t),
+fit AS MATERIALIZED (SELECT r, line, min_by(license, struct_pack(d := -dice, l := license)) AS license, max(dice) AS dice FROM scored WHERE dice >= 0.8 GROUP BY r, line),
+known AS (SELECT license, lo, most, unnest(g) AS gram FROM t),
+places AS (SELECT r, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS start FROM docs),
+met AS MATERIALIZED (SELECT r, license, lo, most, start, gram FROM places JOIN known USING (gram)),
+possible AS (SELECT r, license FROM met GROUP BY r, license, lo HAVING count(DISTINCT gram) >= lo),
+hits AS MATERIALIZED (SELECT r, license, lo, most, start, row_number() OVER (PARTITION BY r, license ORDER BY start) AS k FROM met SEMI JOIN possible USING (r, license)),
+spans AS (SELECT a.r, a.license, a.start, z.start AS upto FROM hits a JOIN hits z ON a.r = z.r AND a.license = z.license AND z.k >= a.k + a.lo - 1 AND z.start - a.start < a.most),
+cut AS (
+  SELECT r, license, start, upto, b, len(g) AS n, len(list_intersect(g, tg)) AS common FROM (
+    SELECT s.r, s.license, s.start, s.upto, t.b, t.g AS tg, list_distinct(d.grams[s.start:s.upto]) AS g FROM spans s JOIN docs d ON s.r = d.r JOIN t ON s.license = t.license)),
+best AS (
+  SELECT r, license, min(struct_pack(d := -(2.0::DOUBLE * common / (n + b)), length := upto - start, start := start, upto := upto, c := -common)) AS x FROM cut GROUP BY r, license, start),
+found AS (SELECT r, license, unnest({apart}) AS x FROM (SELECT r, license, list(x ORDER BY x) AS ps FROM best WHERE -x.d >= 0.8 GROUP BY r, license)),
+chosen AS (
+  SELECT r, unnest({apart}) AS x FROM (
+    SELECT r, list(y ORDER BY y) AS ps FROM (SELECT r, struct_pack(c := x.c, d := x.d, start := x.start, upto := x.upto, license := license) AS y FROM found) GROUP BY r)),
+placed AS (
+  SELECT r, l[x.start] AS line, l[x.upto + 1] AS last, x.license AS license, -x.d AS dice
+  FROM chosen JOIN (SELECT r, flatten([[i FOR x IN lw[i + 1]] FOR i IN range(len(lw))]) AS l FROM docs) USING (r)),
+told AS (
+  SELECT r, line, line AS last, license, dice FROM fit
+  UNION ALL
+  SELECT * FROM placed p WHERE NOT EXISTS (SELECT 1 FROM fit f WHERE f.r = p.r AND f.line BETWEEN p.line AND p.last AND (p.line = p.last OR f.license = p.license)))
+SELECT doc_id, CAST(line AS INTEGER) AS line, license, round(dice, 6) AS dice, array_to_string(p[line + 1:last + 1], chr(10)) AS content FROM told JOIN docs USING (r)
 """
 
 

@@ -1,11 +1,13 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and long texts, repeats and clashing columns."""
 
+import os
 import random
 import re
 import string
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -15,8 +17,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from resonant.llm import bytescan, decontam, ids, language_id, license_scan, line_templates, ngram_join, packing, token_codec, tokens, unit_dedup, url_lists, vector_dedup
+from resonant.llm import bytescan, decontam, ids, language_id, license_scan, line_templates, ngram_join, packing, registry, token_codec, tokens, unit_dedup, url_lists, vector_dedup
+from tests.oracle import compare, duck
 
+SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 WORDS = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}o" for i in range(300)]
 
@@ -446,6 +450,39 @@ def test_wrapped_and_commented_licenses(spark):
     assert [x[:2] for x in got[7]] == [(2, "MIT/grant"), (2 + own.count("\n") + 1, "MIT/grant")]
 
 
+def _notices(rng):
+    """A text of edited notices, wrapped, commented, run together or repeated, among other words."""
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        words = license_scan.TEMPLATES[rng.choice(sorted(license_scan.TEMPLATES))].split()
+        rate = rng.choice([0, 0, 0.03, 0.06, 0.12])
+        words = [w for w in (rng.choice(["any", "such", w + " or"]) if rng.random() < rate else w for w in words) if rng.random() >= rate / 2]
+        text = " ".join(words)
+        if rng.random() < 0.7:
+            text = textwrap.fill(text, rng.randrange(25, 90))
+        if rng.random() < 0.3:
+            text = "\n".join(f" * {x}" for x in text.split("\n"))
+        parts += [prose(rng, rng.randrange(0, 15)), rng.choice(["\n", " ", "\n\n"]), text] + [text] * (rng.random() < 0.2)
+    return rng.choice(["", "\n"]).join([*parts, rng.choice(["\n", " "]), prose(rng, rng.randrange(0, 15))])
+
+
+def test_licenses_equal_sql_over_all_spans(spark):
+    rng = random.Random(8)
+    rows = [(i, _notices(rng)) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "word"), rows[0], (0, rows[1][1]), (None, rows[2][1]), (204, "Released under the MIT\nLicense. " * 300)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows])}))
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("dice", F.round("dice", 6))
+    assert got.where("content like '%\n%'").count() > 50
+    assert compare(got, license_scan.ORACLE, con) is None
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_queries_equal_sql(spark, name):
+    assert compare(registry.QUERIES[name](spark, SF), registry.ORACLE_SQL[name], duck(SF)) is None
+
+
 def test_vectors_of_equal_ids(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.05])]
     for kind in ("float", "double"):
