@@ -67,6 +67,17 @@ def test_set_distances_equal_numpy(spark):
     assert np.allclose([got["fad"].ci_lo, got["fad"].ci_hi], np.percentile(fads, [2.5, 97.5]), atol=1e-6) and got["fad"].n_resamples == len(weights)
 
 
+def test_tiles_are_shuffled_once_for_all_their_pairs(spark):
+    x = np.random.default_rng(2).normal(0, 1, (90, 4))
+    rows = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, file long, x array<double>")
+    df = D.squared_distances(rows, size=6)
+    got = {(r.a, r.b): r.d2 for r in df.collect()}
+    assert len(got) == 90 * 89 // 2 and all(a < b and abs(d - ((x[a] - x[b]) ** 2).sum()) < 1e-9 for (a, b), d in got.items())
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "CartesianProduct" in plan and "Generate" not in plan and "ReusedExchange" in plan
+    assert D.squared_distances(rows.limit(0)).count() == 0 and D.squared_distances(rows.limit(1)).count() == 0
+
+
 def test_onsets_chroma_and_tempo_drift():
     y = A.clicks(12, 120)
     env = U.onset_envelope(y, SR)
