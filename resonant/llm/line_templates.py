@@ -61,12 +61,12 @@ def _parsed(rows: DataFrame) -> DataFrame:
     for c in range(CLASSES):
         others = [f"h{o}" for o in range(CLASSES) if o != c]
         rows = rows.withColumn(f"c{c}", F.when(size >= SHORT, F.xxhash64(F.lit(c + 1), size, f"h{c}")).otherwise(F.xxhash64(F.lit(c + 1), size, *others)))
-    whole = F.xxhash64(F.lit(0), size, "w")
-    rows = rows.withColumn("keys", F.when(size >= WILD_FROM, F.array(whole, *[f"c{c}" for c in range(CLASSES)])).otherwise(F.array(whole)))
+    # the trees' places are all places, so their hashes tell a whole line
+    whole = F.xxhash64(F.lit(0), size, *[f"h{c}" for c in range(CLASSES)])
+    rows = rows.withColumn("keys", F.when(size >= WILD_FROM, F.array(whole, *[f"c{c}" for c in range(CLASSES)])).otherwise(F.array(F.xxhash64(F.lit(0), size, "w"))))
     # a bit of each token: whether the sum of its length and of the codes of its first and third characters is odd
-    bit = lambda x: F.when(F.pmod(F.length(x) + F.ascii(x) + F.ascii(F.substring(x, 3, 1)), F.lit(2)) == 1, "1").otherwise("0")
-    bits = F.conv(F.array_join(F.transform(F.slice("w", 1, PLACES), bit), ""), 2, 10)
-    return rows.withColumn("bits", bits.cast("long"))
+    bit = lambda x: (F.length(x) + F.ascii(x) + F.ascii(F.substring(x, 3, 1))).cast("long").bitwiseAND(F.lit(1).cast("long"))
+    return rows.withColumn("bits", F.aggregate(F.slice("w", 1, PLACES), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x))))
 
 
 def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "text", doc_id: str = "doc_id", long_words: int | None = None) -> DataFrame:
@@ -94,15 +94,16 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "t
     recurring = recurring.select("key", "first")
     hits = parsed.select("d", "t", "line", F.explode("keys").alias("key")).join(recurring, "key").where(F.col("d") > F.col("first"))
     drops = hits.groupBy("d", "t").agg(F.collect_set("line").alias("drops"))
-    # the input's columns travel in one struct, so none of their names can clash
-    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in own]).alias("row"), docs[f"`{doc_id}`"].cast("long").alias("d"), F.hash(docs[f"`{text}`"]).alias("t"), docs[f"`{text}`"].alias("body"))
-    parts = F.split("body", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("drops"))
-    fresh = F.when(F.col("drops").isNull(), F.col("body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    joined = marked.join(drops, ["d", "t"], "left").select("row", "body", "drops", fresh.alias("fresh"))
+    # the input's other columns travel in one struct, so none of their names can clash
+    marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in own if c != text]).alias("row"), docs[f"`{doc_id}`"].cast("long").alias("d"), F.hash(docs[f"`{text}`"]).alias("t"), docs[f"`{text}`"].alias("body"))
+    # a text is split if it loses lines, and once: parts is named twice below, so it is not worked out again for each line
+    joined = marked.join(drops, ["d", "t"], "left").withColumn("parts", F.when(F.col("drops").isNotNull(), F.split("body", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
+    fresh = F.when(F.col("drops").isNull(), F.col("body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
+    feeds = F.octet_length("body") - F.octet_length(F.replace("body", F.lit("\n"), F.lit("")))
     return joined.select(
-        *[(F.col("fresh") if c == text else F.col("row").getField(c)).alias(c) for c in own],
-        F.when(F.col("body").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
+        *[(fresh if c == text else F.col("row").getField(c)).alias(c) for c in own],
+        F.when(F.col("body").isNull(), 0).otherwise(feeds + 1).alias("n_lines"),
         F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"))
 
 

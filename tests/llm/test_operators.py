@@ -171,6 +171,15 @@ def test_long_lines_recur_from_two_documents_on(spark):
     assert line_templates.drop_recurring_lines(df, 5).where("n_dropped > 0").count() == 0
 
 
+def test_a_text_is_split_once_however_many_lines_stay(spark):
+    rows = [(i, "\n".join(f"own{WORDS[j]} of {WORDS[i]}\nthis line is in all of them {WORDS[j]}" for j in range(40))) for i in range(6)]
+    got = line_templates.drop_recurring_lines(spark.createDataFrame([*rows, (6, "\n\n"), (7, "")], "doc_id long, text string"), 5)
+    for r in got.collect():
+        own = rows[r.doc_id][1].split("\n")[::2] if r.doc_id < 6 else []
+        assert r.n_lines == (80, 80, 80, 80, 80, 80, 3, 1)[r.doc_id] and (r.n_dropped in (0, 80) or r.text == "\n".join(own))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(body") == 1
+
+
 def test_language(spark):
     rng = random.Random(5)
     vocab = {"en": ["the", "shall", "which", "thing", "other", "would"], "de": ["und", "nicht", "schön", "über", "zwischen", "auch"], "fr": ["être", "quelle", "français", "après", "aussi", "leur"]}
