@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from resonant.llm import decontam, language_id, line_templates, ngram_join, packing
 from resonant.llm.ids import without
-from resonant.llm.scratch import new_path
+from resonant.llm.scratch import materialise, new_path
 from resonant.session import prepare
 
 
@@ -49,9 +49,19 @@ def _without_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group of near copies stays.
 
+    Then lines of 20 words or more go from the second document on. That comes after near
+    copies have gone, which could not be told by what such lines leave of them; and as it
+    can leave near copies, these go after it. So what is decontaminated and packed is final.
+    A line stays with its first document, and goes with it if that is such a copy.
+
     Documents without words stay, as do rows of null doc_id and all rows of the id that stays.
     """
     prepare(spark)
+    left = materialise(_without_copies(docs), "without-copies")
+    return _without_copies(materialise(_without_lines(left, long_words=20), "without-long-lines"))
+
+
+def _without_copies(docs: DataFrame) -> DataFrame:
     groups = ngram_join.jaccard_components(docs, k=5, percent=80)
     return without(docs, groups.where("doc_id <> component_id").select("doc_id"))
 
@@ -63,13 +73,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of what is left, in sequences of at most 2048 tokens.
-
-    Lines of 20 words or more go from the second document on. That comes after near
-    copies have gone, which could not be told by what such lines leave of them.
-    """
+    """Pieces of all documents that are left, whole as they are, in sequences of at most 2048 tokens."""
     prepare(spark)
-    return packing.pack_documents(_without_lines(docs, long_words=20), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
 STAGES = [

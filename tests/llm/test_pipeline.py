@@ -46,3 +46,16 @@ def test_long_lines_go_after_near_copies(spark, tmp_path):
         ids.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u4").tolist())
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert set(ids) == {0, 2, 3} and ids[3] == [*tokenizer.encode(" ".join(other), add_special_tokens=False).ids, 1]
+
+
+def test_copies_that_long_lines_leave_go_and_packing_packs_all(spark, tmp_path):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(EN) + rng.choice(["", "", "ing", "ed", "ly"]) for _ in range(n))
+    one, two, rest = prose(60), prose(60), "\n".join(prose(12) for _ in range(3))
+    texts = ["\n".join([*(prose(14) for _ in range(5)), one, two]), f"{rest}\n{one}", f"{rest}\n{two}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert left == {0: texts[0], 1: rest}  # 1 and 2 differ in their long lines alone, which 0 has
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r.doc_id: r.doc_tokens for r in corpus_pipeline.pack(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
