@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from resonant.llm import decontam, language_id, line_templates, ngram_join, packing
 from resonant.llm.ids import without
-from resonant.llm.scratch import materialise, new_path
+from resonant.llm.scratch import materialise, new_path, shuffles_removed
 from resonant.session import prepare
 
 
@@ -57,8 +57,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words stay, as do rows of null doc_id and all rows of the id that stays.
     """
     prepare(spark)
-    left = materialise(_without_copies(docs), "without-copies")
-    return _without_copies(materialise(_without_lines(left, long_words=20), "without-long-lines"))
+    with shuffles_removed(spark):  # else those of all three passes lie on disk at once
+        left = materialise(_without_copies(docs), "without-copies")
+        return _without_copies(materialise(_without_lines(left, long_words=20), "without-long-lines"))
 
 
 def _without_copies(docs: DataFrame) -> DataFrame:

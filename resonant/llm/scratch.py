@@ -7,6 +7,7 @@ all executors share, so a lost executor costs a retry of its own tasks only.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -41,6 +42,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """What is executed within leaves no shuffle files: they go as it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def drop_clashes(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, matched exactly; extra or clashing ones are left behind."""
     return df.select(*[df[f"`{n}`"] for n in names])
