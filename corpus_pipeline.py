@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from resonant.llm import decontam, language_id, line_templates, ngram_join, packing
 from resonant.llm.ids import without
-from resonant.llm.scratch import materialise, new_path, shuffles_removed
+from resonant.llm.scratch import settled, shuffles_removed
 from resonant.session import prepare
 
 
@@ -57,9 +57,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words stay, as do rows of null doc_id and all rows of the id that stays.
     """
     prepare(spark)
-    with shuffles_removed(spark):  # else those of all three passes lie on disk at once
-        left = materialise(_without_copies(docs), "without-copies")
-        return _without_copies(materialise(_without_lines(left, long_words=20), "without-long-lines"))
+    with shuffles_removed(spark):  # else those of all three passes lie on disk at once, as would their intermediates
+        return _without_copies(settled(spark, lambda: _without_lines(settled(spark, lambda: _without_copies(docs), "without-copies"), long_words=20), "without-long-lines"))
 
 
 def _without_copies(docs: DataFrame) -> DataFrame:
@@ -92,9 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = new_path(spark, "stage-" + name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    def upto(n: int) -> DataFrame:
+        """What the first ``n`` stages leave; of them, only the last one's result lies on disk then."""
+        if n == 0:
+            return prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+        name, stage = STAGES[n - 1]
+        return settled(spark, lambda: stage(spark, upto(n - 1), sf_dir), "stage-" + name.replace(" ", "-"))
+
+    return upto(len(STAGES))

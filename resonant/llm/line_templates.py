@@ -20,7 +20,8 @@ generalised: a long line does not recur by chance. A line that fits a
 recurring template goes, unless its document is the first (least doc_id) of every
 recurring template it fits. Templates are counted per document before they are
 shuffled, so a template of very many documents is pre-aggregated; texts are
-shuffled once, to be joined to the numbers of their dropped lines.
+shuffled once, to be joined to the numbers of their dropped lines, when the
+templates' shuffle files are gone.
 
 Defined cases: lines end at line feeds, tokens at single spaces or tabs; blank lines neither count nor go; a null
 text stays null; a row of null doc_id is neither counted nor changed; each row is
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import materialise, shuffles_removed
 
 CLASSES, SHORT, PLACES, SIMILAR = 3, 9, 56, 0.5
 #: Tokens of a line that may be generalised, at least.
@@ -93,7 +94,8 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "t
     recurring = recurring.where((F.col("documents") >= needed) & alike)
     recurring = recurring.select("key", "first")
     hits = parsed.select("d", "t", "line", F.explode("keys").alias("key")).join(recurring, "key").where(F.col("d") > F.col("first"))
-    drops = hits.groupBy("d", "t").agg(F.collect_set("line").alias("drops"))
+    with shuffles_removed(docs.sparkSession):  # those of the templates go before the texts are shuffled
+        drops = materialise(hits.groupBy("d", "t").agg(F.collect_set("line").alias("drops")), "dropped-lines")
     # the input's other columns travel in one struct, so none of their names can clash
     marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in own if c != text]).alias("row"), docs[f"`{doc_id}`"].cast("long").alias("d"), F.hash(docs[f"`{text}`"]).alias("t"), docs[f"`{text}`"].alias("body"))
     # a text is split if it loses lines, and once: parts is named twice below, so it is not worked out again for each line

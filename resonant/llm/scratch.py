@@ -2,17 +2,23 @@
 
 An intermediate that is read more than once, or that ends a long lineage, is
 written as Parquet below ``spark.checkpoint.dir``: a folder that the driver and
-all executors share, so a lost executor costs a retry of its own tasks only.
+all executors share, so a lost executor costs a retry of its own tasks only. It stays
+until the application ends, or until ``settled`` has written what it was made for.
 """
 
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The paths that were made since the innermost ``settled`` began.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder. One is set only where none is and all tasks run in this machine, as in tests."""
@@ -28,12 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the application ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    files, target = _files(spark, path)
+    files.deleteOnExit(target)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return path
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads it back."""
     spark = df.sparkSession
@@ -42,6 +54,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()``, materialised. What was materialised on the way to it, by a ``settled`` within too, is then removed."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        df = make()
+    finally:
+        _made.reset(token)
+    done = materialise(df, name)
+    for path in made:
+        files, target = _files(spark, path)
+        files.delete(target, True)
+    return done
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
     """What is executed within leaves no shuffle files: they go as it ends, not when the driver collects its garbage."""
