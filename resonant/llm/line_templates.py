@@ -12,7 +12,13 @@ A leaf is a group whose template keeps the places in which its lines agree and
 generalises the others. What agrees is told from one bit for each of the first
 ``PLACES`` tokens, by the and and the or of the lines' bits, so no line is compared
 with another. A leaf whose template keeps less than ``SIMILAR`` of its places holds
-unlike lines, and is none.
+unlike lines. If it has ``min_documents`` documents, it is parted into groups by
+similarity: a line joins the group with whose template it shares most tokens,
+``SIMILAR`` of all places at least, and the template keeps what they share; else it
+begins a group. A token that so many documents do not have in its place is in no
+template that recurs, so it is none of a line's tokens here, and a line that has too
+few others is in no group. Lines are grouped in cells of about ``CELL``, then the
+cells' templates. Leaves of unlike lines alone have their tokens looked at.
 
 A template of at least ``min_documents`` documents recurs. With ``long_words``, that
 of a whole line recurs from two documents on if it has so many tokens that are not
@@ -34,28 +40,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ids import maybe_needed
 from .scratch import materialise, shuffles_removed
 
 CLASSES, SHORT, PLACES, SIMILAR = 3, 9, 56, 0.5
 #: Tokens of a line that may be generalised, at least.
 WILD_FROM = 4
+#: Different lines of an unlike leaf that one task groups at a time.
+CELL = 1000
 #: Marks a token that holds a digit, an at sign or a scheme.
 FIELD = r"[^ \t]*(?:[0-9@]|://)[^ \t]*"
 EDGE = r"^[ \t\r]+|[ \t\r]+$"
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    """``rows`` with the column w, the tokens of each line that is not blank; the fields' pattern runs only on lines that hold one."""
+    rows = rows.withColumn("line_text", F.btrim("content", F.lit(" \t\r"))).where("line_text <> ''")
+    field = F.regexp_replace("line_text", FIELD, "<*>")
+    rows = rows.withColumn("line_text", F.when(F.col("line_text").rlike("[0-9@]|://"), field).otherwise(F.col("line_text")))
+    return rows.withColumn("w", F.split(F.translate("line_text", "\t", " "), " "))
+
+
 def _parsed(rows: DataFrame) -> DataFrame:
     """``rows`` with the column keys, the hashes of the templates of each line that is not blank.
 
-    Step by step, so that no expression is worked out twice; the varying fields'
-    pattern runs only on lines that hold one.
+    Step by step, so that no expression is worked out twice.
     """
-    rows = rows.withColumn("line_text", F.btrim("content", F.lit(" \t\r"))).where("line_text <> ''")
-    field = F.regexp_replace("line_text", FIELD, "<*>")
-    rows = rows.withColumn("line_text", F.when(F.col("line_text").rlike("[0-9@]|://"), field).otherwise(F.col("line_text")))
-    rows = rows.withColumn("w", F.split(F.translate("line_text", "\t", " "), " "))
     size = F.size("w")
-    rows = rows.withColumn("size", size)
+    rows = _words(rows).withColumn("size", size)
     for c in range(CLASSES):
         own = F.transform(F.sequence(F.lit(c), size - 1, F.lit(CLASSES)), lambda i: F.get("w", i))
         rows = rows.withColumn(f"h{c}", F.when(size >= WILD_FROM, F.xxhash64(own)))
@@ -70,6 +82,42 @@ def _parsed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bits", F.aggregate(F.slice("w", 1, PLACES), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x))))
 
 
+#: Templates of the groups of ``p``, an array of lines (or templates) whose tokens are null where they do not count.
+_GROUPS = f"""
+aggregate(p, cast(array() as array<array<string>>), (groups, x) -> element_at(transform(
+  array(array_max(transform(groups, (g, i) -> struct(size(filter(zip_with(g, x, (a, b) -> a = b), e -> e)) as shared, -i as i)))),
+  best -> if(best.shared >= {SIMILAR} * size(x),
+    transform(groups, (g, i) -> if(i = -best.i, zip_with(g, x, (a, b) -> if(a = b, a, null)), g)),
+    concat(groups, array(x)))), 1))"""
+
+
+def _grouped(lines: DataFrame, *by: str) -> DataFrame:
+    """(key, p): the templates of the groups of the different ``p`` of each ``by``, those of fewest tokens first."""
+    order = F.struct(F.size(F.filter("p", lambda x: x.isNotNull())).alias("kept"), "p")
+    held = lines.groupBy(*by).agg(F.sort_array(F.collect_set(order)).alias("p")).withColumn("p", F.col("p.p"))
+    return held.select("key", F.explode(F.expr(_GROUPS)).alias("p"))
+
+
+def _parted_hits(rows: DataFrame, members: DataFrame, min_documents: int) -> DataFrame:
+    """(d, t, line) of the lines that go by the templates of groups. ``members``: (key, d, t, line) of all lines of unlike leaves."""
+    lines = _words(rows.select("d", "t", F.posexplode("lines").alias("line", "content"))).select("d", "t", "line", "w")
+    lines = materialise(lines.join(members, ["d", "t", "line"]).select("key", "d", "t", "line", "w"), "unlike-lines")
+    # tokens of enough documents in a place; one that has a token there in two lines counts twice, which leaves more lines in
+    places = materialise(lines.groupBy("key", "w").agg(F.count_distinct("d", "t").alias("n")), "different-lines").select("key", "w", "n", F.posexplode("w").alias("i", "x"))
+    often = places.groupBy("key", "i", "x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).drop("n")
+    found = places.drop("n").join(often, ["key", "i", "x"])
+    found = found.groupBy("key", "w").agg(F.collect_set("i").alias("places")).where(F.size("places") >= SIMILAR * F.size("w"))
+    kept = F.transform("w", lambda x, i: F.when(F.array_contains("places", i), x))
+    patterns = materialise(found.select("key", kept.alias("p")).distinct(), "patterns")
+    cells = patterns.groupBy("key").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    patterns = patterns.join(cells, "key").withColumn("cell", F.pmod(F.xxhash64("p"), "cells"))
+    templates = materialise(_grouped(_grouped(patterns, "key", "cell"), "key"), "groups")
+    fits = F.forall(F.zip_with("p", "w", lambda a, b: F.coalesce(a == b, F.lit(True))), lambda e: e)
+    fitting = materialise(lines.join(templates, "key").where(fits).select("key", "p", "d", "t", "line"), "fitting")
+    recurring = fitting.groupBy("key", "p").agg(F.count_distinct("d", "t").alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_documents)
+    return fitting.join(recurring, ["key", "p"]).where(F.col("d") > F.col("first")).select("d", "t", "line")
+
+
 def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "text", doc_id: str = "doc_id", long_words: int | None = None) -> DataFrame:
     """``docs`` with the column ``text`` rewritten, and with n_lines and n_dropped after its own columns.
 
@@ -91,15 +139,21 @@ def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "t
     size = F.shiftright("any", PLACES).bitwiseAND(F.lit(63))
     alike = size - F.bit_count(F.expr(f"(`all` ^ `any`) & {(1 << PLACES) - 1}L")) >= SIMILAR * size
     needed = F.when(F.col("any") >= 1 << 62, min(2, min_documents)).otherwise(min_documents)
-    recurring = recurring.where((F.col("documents") >= needed) & alike)
-    recurring = recurring.select("key", "first")
-    hits = parsed.select("d", "t", "line", F.explode("keys").alias("key")).join(recurring, "key").where(F.col("d") > F.col("first"))
+    recurring = recurring.where(F.col("documents") >= needed).select("key", "first", alike.alias("alike"))
+    placed = parsed.select("d", "t", "line", F.explode("keys").alias("key"))
     with shuffles_removed(docs.sparkSession):  # those of the templates go before the texts are shuffled
+        recurring = materialise(recurring, "recurring")
+        hits = placed.join(recurring.where("alike").hint("merge"), "key").where(F.col("d") > F.col("first")).select("d", "t", "line")
+        unlike = recurring.where("not alike").select("key")
+        if not unlike.isEmpty():
+            members = materialise(placed.join(unlike, "key"), "unlike")
+            texts = maybe_needed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("t"), F.col(text).alias("body")), members.select(F.col("d").alias("doc_id")))
+            hits = hits.unionByName(_parted_hits(texts.select(F.col("doc_id").alias("d"), "t", F.split("body", "\n").alias("lines")), members, min_documents))
         drops = materialise(hits.groupBy("d", "t").agg(F.collect_set("line").alias("drops")), "dropped-lines")
     # the input's other columns travel in one struct, so none of their names can clash
     marked = docs.select(F.struct(*[docs[f"`{c}`"] for c in own if c != text]).alias("row"), docs[f"`{doc_id}`"].cast("long").alias("d"), F.hash(docs[f"`{text}`"]).alias("t"), docs[f"`{text}`"].alias("body"))
     # a text is split if it loses lines, and once: parts is named twice below, so it is not worked out again for each line
-    joined = marked.join(drops, ["d", "t"], "left").withColumn("parts", F.when(F.col("drops").isNotNull(), F.split("body", "\n")))
+    joined = marked.join(drops.hint("merge"), ["d", "t"], "left").withColumn("parts", F.when(F.col("drops").isNotNull(), F.split("body", "\n")))
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("drops"))
     fresh = F.when(F.col("drops").isNull(), F.col("body")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "\n"))
     feeds = F.octet_length("body") - F.octet_length(F.replace("body", F.lit("\n"), F.lit("")))

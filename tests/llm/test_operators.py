@@ -159,6 +159,24 @@ def test_unlike_lines_of_one_leaf_stay(spark):
     assert all(tuple(r)[2:10] == tuple(df.columns[2:]) for r in got.collect())
 
 
+def test_unlike_lines_of_one_leaf_are_parted_by_similarity(spark):
+    """Two templates, each with two varying words, among lines that agree with them in every third place alone."""
+    rng = random.Random(17)
+    frame = [WORDS[j] if j % 3 == 0 else None for j in range(24)]
+    fixed = [[w or rng.choice(WORDS) for w in frame] for _ in range(2)]
+    rows = [(i, " ".join(w or rng.choice(WORDS) for w in frame)) for i in range(30)]
+    for i in range(12):
+        w = list(fixed[i % 2])
+        w[1], w[5] = WORDS[40 + i], WORDS[70 + i]  # no tree leaves out the places of both, but the one of the frame
+        rows.append((30 + i, "\n".join([prose(rng, 13), " ".join(w)])))
+    few = [(60 + i, f"{prose(rng, 24)}") for i in range(4)]
+    df = spark.createDataFrame([*rows, *few], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(df, 5).collect()}
+    assert {i for i, r in got.items() if r.n_dropped} == {*range(32, 42)}
+    assert all(r.text == (dict(rows + few)[i].split("\n")[0] if 32 <= i < 42 else dict(rows + few)[i]) for i, r in got.items())
+    assert line_templates.drop_recurring_lines(df, 7).where("n_dropped > 0").count() == 0
+
+
 def test_long_lines_recur_from_two_documents_on(spark):
     rng = random.Random(6)
     passage, short, numbers = prose(rng, 51), prose(rng, 10), " ".join(f"{i}.5" for i in range(60))
