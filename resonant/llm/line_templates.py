@@ -101,7 +101,7 @@ def _grouped(lines: DataFrame, *by: str) -> DataFrame:
 def _parted_hits(rows: DataFrame, members: DataFrame, min_documents: int) -> DataFrame:
     """(d, t, line) of the lines that go by the templates of groups. ``members``: (key, d, t, line) of all lines of unlike leaves."""
     lines = _words(rows.select("d", "t", F.posexplode("lines").alias("line", "content"))).select("d", "t", "line", "w")
-    lines = materialise(lines.join(members, ["d", "t", "line"]).select("key", "d", "t", "line", "w"), "unlike-lines")
+    lines = materialise(lines.join(members.hint("merge"), ["d", "t", "line"]).select("key", "d", "t", "line", "w"), "unlike-lines")
     # tokens of enough documents in a place; one that has a token there in two lines counts twice, which leaves more lines in
     places = materialise(lines.groupBy("key", "w").agg(F.count_distinct("d", "t").alias("n")), "different-lines").select("key", "w", "n", F.posexplode("w").alias("i", "x"))
     often = places.groupBy("key", "i", "x").agg(F.sum("n").alias("n")).where(F.col("n") >= min_documents).drop("n")
@@ -113,9 +113,9 @@ def _parted_hits(rows: DataFrame, members: DataFrame, min_documents: int) -> Dat
     patterns = patterns.join(cells, "key").withColumn("cell", F.pmod(F.xxhash64("p"), "cells"))
     templates = materialise(_grouped(_grouped(patterns, "key", "cell"), "key"), "groups")
     fits = F.forall(F.zip_with("p", "w", lambda a, b: F.coalesce(a == b, F.lit(True))), lambda e: e)
-    fitting = materialise(lines.join(templates, "key").where(fits).select("key", "p", "d", "t", "line"), "fitting")
+    fitting = materialise(lines.join(templates.hint("merge"), "key").where(fits).select("key", "p", "d", "t", "line"), "fitting")
     recurring = fitting.groupBy("key", "p").agg(F.count_distinct("d", "t").alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_documents)
-    return fitting.join(recurring, ["key", "p"]).where(F.col("d") > F.col("first")).select("d", "t", "line")
+    return fitting.join(recurring.hint("merge"), ["key", "p"]).where(F.col("d") > F.col("first")).select("d", "t", "line")
 
 
 def drop_recurring_lines(docs: DataFrame, min_documents: int = 5, text: str = "text", doc_id: str = "doc_id", long_words: int | None = None) -> DataFrame:
