@@ -5,6 +5,7 @@ import random
 import re
 import string
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -177,6 +178,36 @@ def test_unlike_lines_of_one_leaf_are_parted_by_similarity(spark):
     assert line_templates.drop_recurring_lines(df, 7).where("n_dropped > 0").count() == 0
 
 
+def test_tokens_of_unlike_lines_are_not_broadcast(spark):
+    """Lines that repeat few tokens are a small file, but many rows of tokens."""
+    rng = random.Random(18)
+    rows = [(i, " ".join(WORDS[j] if j % 3 == 0 else rng.choice(WORDS[:40]) for j in range(24))) for i in range(60)]
+    runs = spark._jsparkSession.sharedState().statusStore()
+    before = runs.executionsCount()
+    line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made = runs.executionsList()
+    plans = [made.apply(i).physicalPlanDescription() for i in range(before, made.size())]
+    plans = [p for p in plans if "posexplode(w#" in p]
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_fields_are_told_at_once():
+    """The faster pattern of fields stands for that of the SQL."""
+    rng = random.Random(19)
+    for _ in range(20_000):
+        line = "".join(rng.choice("ab:/:/:/ \t7@é") for _ in range(rng.randrange(24)))
+        assert re.sub(line_templates.FIELD_AT_ONCE, "<*>", line) == re.sub(line_templates.FIELD, "<*>", line), line
+
+
+def test_a_long_token_beside_a_field_is_read_once(spark):
+    """Of a token of 400,000 letters, the pattern was tried at each letter on all that follow."""
+    rows = [(i, f"{'x' * 400_000} 7{i}\nown{WORDS[i]}") for i in range(6)]
+    began = time.monotonic()
+    got = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {0: rows[0][1]} | {i: f"own{WORDS[i]}" for i in range(1, 6)} and time.monotonic() - began < 60
+
+
 def test_long_lines_recur_from_two_documents_on(spark):
     rng = random.Random(6)
     passage, short, numbers = prose(rng, 51), prose(rng, 10), " ".join(f"{i}.5" for i in range(60))
