@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from . import bytescan
 from .components import components
 from .ids import maybe_needed
-from .scratch import materialise
+from .scratch import materialise, memory_returned
 from .skew import HEAVY, join_per_key
 
 #: Lists of more sets than this (or twice, four times, ... as many: see above) give pairs only across components.
@@ -454,6 +454,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, short: in
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = materialise(_dealt(texts.mapInArrow(_emit(k, percent, 4 * n, last), _BLOB_SQL), n).mapInArrow(_lists(percent, short), _LIST_SQL), "lists")
+    last.destroy()
+    memory_returned(spark)
 
     classes = sets.where("n > 0 and doc_id is not null").groupBy("k0", "k1").agg(F.min(F.struct("doc_id", "t")).alias("r"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     classes = materialise(classes.select("k0", "k1", F.col("r.doc_id").alias("rep"), "r.t", "n", "mins", F.monotonically_increasing_id().alias("cid")), "classes")
@@ -467,6 +469,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, short: in
     candidates = materialise(_ordered(paired.union(stars)), "candidates")
     known = materialise(verified(texts, classes, candidates, k, percent), "overlaps")
     edges = known.where("linked").select("a", "b")
+    memory_returned(spark)
 
     label = lambda e: materialise(components(e).select(F.col("node").alias("cid"), F.col("component").alias("c")), "components")
     part = label(edges)

@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: The paths that were made since the innermost ``settled`` began.
@@ -66,9 +67,41 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     for path in made:
         files, target = _files(spark, path)
         files.delete(target, True)
+    memory_returned(spark)
     return done
 
 
+def memory_returned(spark: SparkSession) -> None:
+    """The driver gives back what it has done with, for use between the steps of a long job.
+
+    Spark runs each exchange of a plan in a thread of its own, and the C library keeps what such
+    threads and the JVM's compiler have freed; a heap that has once grown stays until a full
+    collection, as do broadcasts and generated classes. A JVM that cannot trim only collects.
+    """
+    jvm = spark.sparkContext._jvm
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Through the interface MBeanServer, as its class is hidden from Py4J."""
+    jvm, new_array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+
+    def array(kind, *values):
+        out = new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    named = jvm.java.lang.Class.forName
+    kinds = [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.Class, *kinds))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args = array(jvm.Object, command, "systemTrimNativeHeap", array(jvm.Object), array(jvm.String))
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
     """What is executed within leaves no shuffle files: they go as it ends, not when the driver collects its garbage."""

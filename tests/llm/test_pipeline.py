@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from resonant.llm.scratch import shared_dir
+from resonant.llm.scratch import _trim, settled, shared_dir
 
 EN = "the shall which thing other would where there under again never through because people water little great house world still".split()
 
@@ -82,3 +82,13 @@ def test_intermediates_go_with_their_pass(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(n.split("/")[0] for n in there() - before) == ["stage-packing"]
     assert {r.doc_id for r in got.collect()} == {*range(8)}
+
+
+def test_the_driver_gives_back_memory_after_a_pass(spark):
+    """The heap by a full collection, the C library's by a command, which must not fail unseen on this JVM."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert settled(spark, lambda: spark.range(3).toDF("x"), "three").count() == 3
+    assert full() > before
+    _trim(spark)
