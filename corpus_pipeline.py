@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 
 from resonant.llm import decontam, language_id, line_templates, ngram_join, packing
 from resonant.llm.ids import without
-from resonant.llm.scratch import settled, shuffles_removed
+from resonant.llm.scratch import memory_returned, settled, shuffles_removed
 from resonant.session import prepare
 
 
+def _begun(spark: SparkSession) -> SparkSession:
+    """The session, after all JVMs have given back what earlier stages left; the join does so itself."""
+    memory_returned(prepare(spark))
+    return spark
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no known language go.
 
@@ -26,7 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those without a letter, go; where rows share a doc_id, one that goes takes the others
     along. A row of null doc_id stays.
     """
-    prepare(spark)
+    _begun(spark)
     told = language_id.identify(docs, docs.select("text", docs.lang.alias("label")), text="text", declared=None, address="source")
     return without(docs, told.where("not accepted and doc_id is not null").select("doc_id"))
 
@@ -36,7 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; a row of null doc_id is not changed; repeated rows keep the same lines.
     """
-    prepare(spark)
+    _begun(spark)
     return _without_lines(docs)
 
 
@@ -68,13 +74,13 @@ def _without_copies(docs: DataFrame) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with a benchmark item go; null and empty texts and rows of null doc_id stay."""
-    found = decontam.overlaps(docs, prepare(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontam.overlaps(docs, _begun(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, found.where("doc_id is not null").select("doc_id"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, whole as they are, in sequences of at most 2048 tokens."""
-    prepare(spark)
+    _begun(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan
+from .workers import returning
 
 SHORTEST = 6
 #: Places that each mask takes, the rest up to its last is ignored; an item takes the first row that cannot miss it.
@@ -173,7 +174,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 12, share: floa
 
     def searched():
         sent = spark.sparkContext.broadcast(Index(ids, texts, least, share, identity))
-        return rows.mapInArrow(_search(sent, least, share, identity), schema)
+        return rows.mapInArrow(returning(_search(sent, least, share, identity)), schema)
 
     for row in items.orderBy("item_id").toLocalIterator():  # one block of the query set at a time
         ids.append(row[0])

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import bytescan
 from .scratch import materialise
+from .workers import returning
 
 #: Labelled rows of each language that the text model is fitted on, at most.
 FIT_ROWS = 1000
@@ -93,7 +94,7 @@ def fit(rows: DataFrame, most: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     # the ranking's limit is applied before its shuffle, of which texts are no part
     rank = F.row_number().over(Window.partitionBy("label").orderBy("key"))
     chosen = keyed.select("label", "key").withColumn("rank", rank).where(F.col("rank") <= most).select("label", "key").distinct()
-    counted = keyed.join(chosen, ["label", "key"], "left_semi").dropDuplicates(["label", "key"]).select("label", "text").mapInArrow(_count, "label string, bucket long, n long")
+    counted = keyed.join(chosen, ["label", "key"], "left_semi").dropDuplicates(["label", "key"]).select("label", "text").mapInArrow(returning(_count), "label string, bucket long, n long")
     found = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect()
     names = sorted({r[0] for r in found})
     counts = np.full((len(names), BUCKETS), 0.05)
@@ -142,7 +143,7 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", declared:
     classes = [*names, UND]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id long, declared string, host string, suffix string, seen long, text_ll array<double>"
-    scored = rows.mapInArrow(_score(names, sent, dependence), schema)
+    scored = rows.mapInArrow(returning(_score(names, sent, dependence)), schema)
 
     def told(column: str, trust: float, c: str):
         known = F.col(column).isin(names) if names else F.lit(False)

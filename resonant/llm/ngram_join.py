@@ -51,6 +51,7 @@ from .components import components
 from .ids import maybe_needed
 from .scratch import materialise, memory_returned
 from .skew import HEAVY, join_per_key
+from .workers import returning
 
 #: Lists of more sets than this (or twice, four times, ... as many: see above) give pairs only across components.
 SHORT = 24
@@ -241,7 +242,7 @@ def frequent_map(texts: DataFrame, k: int, short: int) -> tuple[np.ndarray, int]
     """The packed map, whose parts reach the driver (16 MB together whatever the input), and the sets above which a shingle is in it."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = min(20, max(8, int(n - 1).bit_length() + 1))
-    often = materialise(_dealt(texts.mapInArrow(_tell(k, bits), _BLOB_SQL), n).mapInArrow(_often(short), _BLOB_SQL), "frequent")
+    often = materialise(_dealt(texts.mapInArrow(returning(_tell(k, bits)), _BLOB_SQL), n).mapInArrow(returning(_often(short)), _BLOB_SQL), "frequent")
     grades = often.mapInArrow(_grades(short), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(f"n <= {MAP_SET}").agg(F.min("g")).first()[0]
     short <<= grades or 0
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
@@ -409,7 +410,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perc
     placed = light.unionByName(salted.join(few, ["doc_id", "t", "salt"]).select("block", "cid", "hub", "text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartition(n, "block").sortWithinPartitions("block", F.desc("hub"), "cid")
-    return ordered.mapInArrow(_verify(k, percent), "a long, b long, overlap long, linked boolean")
+    return ordered.mapInArrow(returning(_verify(k, percent)), "a long, b long, overlap long, linked boolean")
 
 
 # -- the operator
@@ -446,14 +447,15 @@ def _cells(waiting: DataFrame, percent: int, total: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, short: int = SHORT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``docs``."""
     spark = docs.sparkSession
+    memory_returned(spark)
     text = F.col("text").cast("binary")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    sets = materialise(texts.mapInArrow(_scan(k), "doc_id long, t long, n long, k0 long, k1 long, mins array<long>"), "sets")
+    sets = materialise(texts.mapInArrow(returning(_scan(k)), "doc_id long, t long, n long, k0 long, k1 long, mins array<long>"), "sets")
     frequent, short = frequent_map(texts, k, short)
     last = spark.sparkContext.broadcast(frequent)
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = materialise(_dealt(texts.mapInArrow(_emit(k, percent, 4 * n, last), _BLOB_SQL), n).mapInArrow(_lists(percent, short), _LIST_SQL), "lists")
+    lists = materialise(_dealt(texts.mapInArrow(returning(_emit(k, percent, 4 * n, last)), _BLOB_SQL), n).mapInArrow(returning(_lists(percent, short)), _LIST_SQL), "lists")
     last.destroy()
     memory_returned(spark)
 
@@ -497,6 +499,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, short: in
         new = _ordered(met.where(fits.format(x="x", y="hub")).select(F.col("hub.cid").alias("a"), F.col("x.cid").alias("b")))
         new = materialise(new.join(known, ["a", "b"], "left_anti"), "to-hubs")
         known = known.unionByName(materialise(verified(texts, classes, new, k, percent), "overlaps"))
+        memory_returned(spark)
         edges = known.where("linked").select("a", "b")
         part = label(edges)
         waiting, _, total = open_lists(waiting.drop("c"), part)

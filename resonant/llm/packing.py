@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan, tokens
+from .workers import returning
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64()), ("ids", pa.binary())])
@@ -134,4 +135,4 @@ def _packer(tokenizer: str, end_id: int, capacity: int, piece: int, batch_ids: i
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, piece: int = 512, batch_ids: int = 1 << 20) -> DataFrame:
     """Pieces of all ``docs`` (doc_id, text), with their place in a sequence and their ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_packer(tokenizer, end_id, capacity, piece, batch_ids), SCHEMA)
+    return rows.mapInArrow(returning(_packer(tokenizer, end_id, capacity, piece, batch_ids), encodes=True), SCHEMA)

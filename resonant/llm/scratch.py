@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The paths that were made since the innermost ``settled`` began.
 _made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
@@ -72,16 +73,19 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
 
 
 def memory_returned(spark: SparkSession) -> None:
-    """The driver gives back what it has done with, for use between the steps of a long job.
+    """The driver and the executors give back what they have done with, for use between the steps of a long job.
 
     Spark runs each exchange of a plan in a thread of its own, and the C library keeps what such
     threads and the JVM's compiler have freed; a heap that has once grown stays until a full
     collection, as do broadcasts and generated classes. A JVM that cannot trim only collects.
+    Executors collect in a job of a task for each, which free ones get one by one.
     """
     jvm = spark.sparkContext._jvm
     jvm.System.gc()
     with contextlib.suppress(Py4JError):
         _trim(spark)
+    n = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()  # and the driver
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def _trim(spark: SparkSession) -> None:

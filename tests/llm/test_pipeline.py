@@ -2,13 +2,16 @@
 
 import os
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from resonant.llm.scratch import _trim, settled, shared_dir
+from resonant.llm import ngram_join, tokens, workers
+from resonant.llm.scratch import _trim, memory_returned, settled, shared_dir
 
 EN = "the shall which thing other would where there under again never through because people water little great house world still".split()
 
@@ -92,3 +95,38 @@ def test_the_driver_gives_back_memory_after_a_pass(spark):
     assert settled(spark, lambda: spark.range(3).toDF("x"), "three").count() == 3
     assert full() > before
     _trim(spark)
+
+
+def test_executors_give_back_their_heaps(spark):
+    """Here the driver's JVM is the only executor: it collects once as the driver, once in a task."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    memory_returned(spark)
+    assert full() >= before + 2
+
+
+def test_workers_give_back_what_tasks_have_freed(spark):
+    anonymous = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+
+    def run(batches):
+        held = [np.ones(12_000) for _ in range(2000)]  # 190 MB, of blocks that the C library keeps under the last one
+        kept.append(held.pop())
+        yield len(held)
+
+    kept = []
+    tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    before = anonymous()
+    assert list(workers.returning(run, encodes=True)([])) == [1999] and tokens.encoder.cache_info().currsize == 1
+    assert anonymous() < before + 60
+    list(workers.returning(run)([]))
+    assert tokens.encoder.cache_info().currsize == 0  # an operator that does not encode has no use for it
+
+
+def test_the_join_leaves_no_memory_in_its_workers(spark, monkeypatch, tmp_path):
+    """Each of its tasks in Python gives back memory, of which executors had too much."""
+    wrapped = []
+    monkeypatch.setattr(ngram_join, "returning", lambda run, **how: wrapped.append(run.__qualname__.split(".")[0]) or workers.returning(run, **how))
+    docs = spark.createDataFrame([(i, f"{i % 3} one two three four five six seven eight nine ten") for i in range(9)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {i: i % 3 for i in range(9)}
+    assert {"_scan", "_tell", "_often", "_emit", "_lists", "_verify"} <= {*wrapped}
